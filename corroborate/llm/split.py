@@ -6,11 +6,13 @@ import bisect
 import itertools
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corroborate.llm.encode import encoder, tokenizer_path
 
@@ -155,17 +157,20 @@ def split_documents(documents: DataFrame, limits: DataFrame, path: str | None =
     Rows that repeat a doc_id are cut each by itself.
     """
     path = path or tokenizer_path()
-    row = pa.struct([("piece_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("text", pa.string())])
-
-    def run(texts: pa.Array, most: pa.Array, overlap: pa.Array) -> pa.Array:
-        enc, out = encoder(path), []
-        for t, m, o in zip(texts.to_pylist(), most.to_pylist(), overlap.to_pylist()):
-            cuts = split_text(t, enc, m, o or 0) if t and m else []
-            out.append([{"piece_no": i, "start_char": a, "end_char": z, "n_tokens": n, "shared_tokens": s, "text": t[a:z]} for i, (a, z, n, s) in enumerate(cuts, 1)])
-        return pa.array(out, type=pa.list_(row))
+    doc_type = to_arrow_type(documents.schema["doc_id"].dataType)
+    schema = pa.schema([("doc_id", doc_type), ("piece_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            rows = []
+            for i, t, m, o in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "max_tokens", "overlap_tokens"))):
+                for n, (a, z, tokens, shared) in enumerate(split_text(t, enc, m, o or 0), 1):
+                    rows.append((i, n, a, z, tokens, shared, t[a:z]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     known = limits.where("source is not null and max_tokens > 0").groupBy("source").agg(F.min("max_tokens").alias("max_tokens"), F.min_by("overlap_tokens", "max_tokens").alias("overlap_tokens"))
     # a text has at most as many tokens as bytes
     long = documents.select("doc_id", "source", "text").join(F.broadcast(known), "source").where(F.octet_length("text") > F.col("max_tokens"))
-    pieces = F.arrow_udf(run, "array<struct<piece_no:int,start_char:int,end_char:int,n_tokens:int,shared_tokens:int,text:string>>")
-    return long.select("doc_id", pieces("text", "max_tokens", "overlap_tokens").alias("pieces")).select("doc_id", F.inline("pieces"))
+    return long.select("doc_id", "text", "max_tokens", "overlap_tokens").mapInArrow(run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, piece_no int, start_char int, end_char int, n_tokens int, shared_tokens int, text string")
