@@ -27,12 +27,13 @@ class Sketch:
     one hold exactly `size` values, those of weight one any number."""
 
     def __init__(self, size: int):
-        self.size, self.loose, self.full = size, [], {}
+        self.size, self.loose, self.held, self.full = size, [], 0, {}
 
     def add(self, values: np.ndarray, weight: int = 1, error: int = 0) -> None:
         if weight == 1:
             self.loose.append(values)
-            if sum(map(len, self.loose)) >= self.size * FAN:
+            self.held += len(values)
+            if self.held >= self.size * FAN:
                 self._pack()
         else:
             self.full.setdefault(weight, []).append((values, error))
@@ -45,6 +46,7 @@ class Sketch:
         for i in range(n):
             self.full.setdefault(1, []).append((np.sort(rest[i * self.size : (i + 1) * self.size]), 0))
         self.loose = [rest[n * self.size :]]
+        self.held = len(self.loose[0])
         if n:
             self._collapse(1)
 

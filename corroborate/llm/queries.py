@@ -33,25 +33,32 @@ def p2_fields(spark: SparkSession, d: str) -> DataFrame:
     return residue.flags(table(spark, d, "listings")).where("bad_title or bad_vendor or bad_price").select("rec_id", "bad_title", "bad_vendor", "bad_price")
 
 
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """One sketch per category and list_date: what a daily job would keep."""
+    found = quantiles.sketches(table(spark, d, "market_listings"), ["category", "list_date"], "price_btc_low", EPS)
+    return cut(quantiles.merge_sketches(cut(found), ["category", "list_date"], EPS))
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per category, from one sketch per input partition."""
-    kept = cut(quantiles.sketches(table(spark, d, "market_listings"), ["category"], "price_btc_low", EPS))
-    merged = quantiles.merge_sketches(kept, ["category"], EPS)
-    return quantiles.percentiles(merged, ["category"], QS, EPS)
+    """Per category and list_date, and per category over all dates (list_date null), the latter from the kept daily
+    sketches, united by a tree."""
+    daily = _daily(spark, d)
+    by_day = quantiles.percentiles(daily, ["category", "list_date"], QS, EPS)
+    parts = 1 << 14
+    united = daily.withColumn("part", F.pmod(F.coalesce(F.datediff(F.to_date("list_date"), F.lit("2000-01-01").cast("date")), F.lit(0)), F.lit(parts))).drop("list_date")
+    over_all = quantiles.percentiles(quantiles.merge_sketches(united, ["category"], EPS, parts=parts), ["category"], QS, EPS)
+    return by_day.unionByName(over_all.withColumn("list_date", F.lit(None).cast("string")))
 
 
-def p5_from_days(spark: SparkSession, d: str) -> DataFrame:
-    """Per category, from sketches kept per category and list_date: what a daily job would store, united later."""
-    daily = cut(quantiles.sketches(table(spark, d, "market_listings"), ["category", "list_date"], "price_btc_low", EPS))
-    per_day = quantiles.merge_sketches(daily, ["category", "list_date"], EPS)
-    day = F.datediff(F.to_date("list_date"), F.lit("2000-01-01").cast("date"))
-    united = cut(per_day.withColumn("part", F.coalesce(F.pmod(day, F.lit(1 << 14)), F.lit(0)).cast("int")).drop("list_date"))
-    return quantiles.percentiles(quantiles.merge_sketches(united, ["category"], EPS, parts=1 << 14), ["category"], QS, EPS)
+def p5_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """Per category, from one sketch per input partition."""
+    kept = cut(quantiles.sketches(table(spark, d, "market_listings"), ["category"], "price_btc_low", EPS))
+    return quantiles.percentiles(quantiles.merge_sketches(kept, ["category"], EPS), ["category"], QS, EPS)
 
 
 def p5_bound(spark: SparkSession, d: str) -> DataFrame:
     """Whether each percentile is within the stated error of its exact rank, counted over all rows."""
-    told = cut(p5_percentiles(spark, d))
+    told = cut(p5_by_category(spark, d))
     rows = table(spark, d, "market_listings").where("price_btc_low is not null and not isnan(price_btc_low)").select("category", "price_btc_low")
     asked = F.broadcast(told.groupBy("category").agg(F.collect_list(F.struct("q", "value", "n", "eps")).alias("told")))
     v = F.col("price_btc_low")
@@ -100,7 +107,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_fields": p2_fields,
     "p5_percentiles": p5_percentiles,
-    "p5_from_days": p5_from_days,
+    "p5_by_category": p5_by_category,
     "p5_bound": p5_bound,
     "p6_found": p6_found,
     "p7_found": p7_found,
