@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -86,22 +87,23 @@ def simhash_bits(features: Column) -> Column:
     return F.struct(word(0).alias("hi"), word(1).alias("lo"))
 
 
-def simhash_blake(features: Column) -> Column:
-    """BIGINT: the 64-bit similarity hash from 8-byte blake2b digests, in Arrow batches."""
+def structure_hash_blake(html: Column) -> Column:
+    """BIGINT: the 64-bit similarity hash of a page's tag_features() from 8-byte blake2b digests, in Arrow batches."""
 
-    def one(fs) -> int:
+    def one(page: str | None) -> int:
+        tags = [t.lower() for t in re.findall(r"<[ \t\n]*([a-zA-Z][a-zA-Z0-9]*)", page or "")]
         sums = [0] * 64
-        for f in fs if fs is not None else []:
+        for f in [" ".join(tags[i : i + 3]) for i in range(max(1, len(tags) - 2))] if tags else []:
             h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
             for i in range(64):
                 sums[i] += 1 if h >> i & 1 else -1
         x = sum(1 << i for i in range(64) if sums[i] > 0)
         return x - (1 << 64) if x >> 63 else x
 
-    def run(a: pd.Series) -> pd.Series:
-        return pd.Series([one(x) for x in a], dtype="int64")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in pages], dtype="int64")
 
-    return F.pandas_udf(run, "bigint")(features)
+    return F.pandas_udf(run, "bigint")(html)
 
 
 def structure_similarity(a: Column, b: Column) -> Column:

@@ -152,8 +152,10 @@ def quantities(messages: DataFrame, victims: DataFrame, rates: DataFrame, source
     Units of feeds and sites are told from the data (feed_units, site_units); a unit declared in source_units is
     the exact check that follows and prevails. Undecided sources count as US dollars or gigabytes.
     Null, blank and withheld content falls back to the recorded figures; a null array has none; null, zero and
-    negative figures claim nothing. Repeated rows have distinct ids and each gives its rows.
+    negative figures claim nothing. Repeated rows have distinct ids and each gives its rows. Extra columns are ignored.
     """
+    messages = messages.select("msg_id", "group_name", "content", "amounts", "sent_at")
+    victims = victims.select("rec_id", "victim_id", "claimed_gb", "claim_text", "site")
     said = usd_stated(messages, rates)
     money_unit = _unit_per_source(said.select("group_name").distinct().withColumnRenamed("group_name", "source"), feed_units(said), source_units, "money", "usd")
     volumes = claimed(victims)
