@@ -80,16 +80,16 @@ def flags(listings: DataFrame) -> DataFrame:
     columns stay as they are.
     """
     loose = loose_slots(listings)
-    empty = empty_phrases(listings).withColumn("says_nothing", F.lit(True))
+    empty = empty_phrases(listings).withColumn("_says_nothing", F.lit(True))
     seen = listings.withColumn("_sig", signature(F.col("title"))).join(empty.withColumnRenamed("sig", "_sig"), "_sig", "left")
     # one row, a set of a few words
-    seen = seen.crossJoin(F.broadcast(loose))
-    title = detected(F.col("title"), F.col("loose")) | F.coalesce(F.col("says_nothing"), F.lit(False))
+    seen = seen.crossJoin(F.broadcast(loose.withColumnRenamed("loose", "_loose")))
+    title = detected(F.col("title"), F.col("_loose")) | F.coalesce(F.col("_says_nothing"), F.lit(False))
     return (
         seen.withColumn("bad_title", title)
         .withColumn("bad_vendor", detected(F.col("vendor")))
         .withColumn("bad_price", detected(F.col("price_text"), price=True))
-        .drop("_sig", "says_nothing", "loose")
+        .drop("_sig", "_says_nothing", "_loose")
     )
 
 
