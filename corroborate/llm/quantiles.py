@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buffers of one weight that are collapsed into one of FAN times the weight.
 FAN = 8
+#: Rows that are dealt to their groups at once.
+ROWS = 500_000
 #: Collapses on top of each other for which the error is stated: values per group up to FAN**LEVELS buffers.
 LEVELS = 10
 
@@ -98,28 +99,34 @@ def sketches(df: DataFrame, keys: list[str], value: str, eps: float = 0.005) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple, Sketch] = {}
-        for b in batches:
-            table = pa.Table.from_batches([b])
+
+        def take(some: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(some)
             vals = table["_v"].to_numpy()
             codes = np.zeros(len(vals), dtype=np.int64)
             uniq: list[list] = []
             for k in keys:
-                enc = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
-                enc = enc.chunk(0) if isinstance(enc, pa.ChunkedArray) else enc
+                enc = pa.chunked_array([table[k].combine_chunks()]).combine_chunks().dictionary_encode(null_encoding="encode")
                 uniq.append(enc.dictionary.to_pylist())
                 codes = codes * len(uniq[-1]) + enc.indices.to_numpy()
             order = np.argsort(codes, kind="stable")
-            cut_at = np.flatnonzero(np.diff(codes[order])) + 1
-            for idx in np.split(order, cut_at):
+            for idx in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
                 if len(idx):
                     c, key = int(codes[idx[0]]), []
                     for u in reversed(uniq):
                         key.append(u[c % len(u)])
                         c //= len(u)
-                    key = tuple(reversed(key))
-                    if key not in open_:
-                        open_[key] = Sketch(size)
-                    open_[key].add(vals[idx])
+                    open_.setdefault(tuple(reversed(key)), Sketch(size)).add(vals[idx])
+
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= ROWS:
+                take(held)
+                held, rows = [], 0
+        if held:
+            take(held)
         out = [(key, w, e, v) for key, s in open_.items() for w, e, v in s.rows()]
         if out:
             # pieces of bounded size
@@ -136,6 +143,20 @@ def sketches(df: DataFrame, keys: list[str], value: str, eps: float = 0.005) ->
     return picked.mapInArrow(run, schema).withColumn("part", F.spark_partition_id())
 
 
+def _gathered() -> Column:
+    """A group's buffers in one row: a few per level of collapses, of a fixed size, from a fixed number of sketches."""
+    return F.collect_list(F.struct("weight", "error", "vals")).alias("b")
+
+
+def _buffers(column: pa.Array) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Per row of an array of (weight, error, vals) its buffers."""
+    ends, flat = column.offsets.to_numpy(), column.values
+    weight, error, vals = flat.field("weight").to_numpy(), flat.field("error").to_numpy(), flat.field("vals")
+    at, values = vals.offsets.to_numpy(), vals.values.to_numpy(zero_copy_only=False)
+    for a, z in zip(ends[:-1], ends[1:]):
+        yield [(int(weight[i]), int(error[i]), values[at[i] : at[i + 1]]) for i in range(a, z)]
+
+
 def merge_sketches(buffers: DataFrame, keys: list[str], eps: float = 0.005, fan_in: int = 64, parts: int | None = None) -> DataFrame:
     """Buffers of the same form, merged per group by a tree: parts are merged fan_in at a time until one is left, so
     that no task holds more than fan_in sketches of a group. parts is the number of parts, if known; errors add up
@@ -143,30 +164,32 @@ def merge_sketches(buffers: DataFrame, keys: list[str], eps: float = 0.005, fan_
     size = buffer_size(eps)
     left = parts if parts is not None else buffers.agg(F.max("part")).first()[0]
     left = (left or 0) + (parts is None)
-    schema = ", ".join(f"`{k}` {buffers.schema[k].dataType.simpleString()}" for k in keys) + ", part int, " + _SCHEMA
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(rows: list) -> Iterator[tuple[int, int, np.ndarray]]:
         s = Sketch(size)
         # heaviest first, then by value: the result depends on the buffers only, not on their order
-        rows = sorted(zip(pdf["weight"], pdf["error"], pdf["vals"]), key=lambda r: (-r[0], r[1], len(r[2]), r[2][0], r[2][-1]))
-        for w, e, v in rows:
+        for w, e, v in sorted(rows, key=lambda r: (-r[0], r[1], len(r[2]), r[2][0], r[2][-1])):
             if w > 1:
-                s.full.setdefault(int(w), []).append((np.asarray(v), int(e)))
+                s.full.setdefault(w, []).append((v, e))
             else:
-                s.loose.append(np.asarray(v))
+                s.loose.append(v)
         s._pack()
         for w in sorted(s.full):
             s._collapse(w)
-        out = list(s.rows())
-        got = pd.DataFrame({"weight": [w for w, _, _ in out], "error": [e for _, e, _ in out], "vals": [v.tolist() for _, _, v in out]})
-        for i, k in enumerate(keys):
-            got.insert(i, k, key[i])
-        got.insert(len(keys), "part", int(key[-1]))
-        return got
+        return s.rows()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(i, *r) for i, rows in enumerate(_buffers(b.column("b"))) for r in merged(rows)]
+            if out:
+                at = pa.array([r[0] for r in out])
+                kept = [b.column(c).take(at) for c in [*keys, "part"]]
+                arrays = [*kept, pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*keys, "part", "weight", "error", "vals"])
+
+    schema = ", ".join(f"`{k}` {buffers.schema[k].dataType.simpleString()}" for k in keys) + ", part int, " + _SCHEMA
     while left > 1:
         grouped = buffers.withColumn("part", F.floor(F.col("part") / fan_in).cast("int"))
-        buffers = grouped.groupBy(*keys, "part").applyInPandas(run, schema)
+        buffers = grouped.groupBy(*keys, "part").agg(_gathered()).mapInArrow(run, schema)
         left = -(-left // fan_in)
     return buffers
 
@@ -177,16 +200,21 @@ def percentiles(buffers: DataFrame, keys: list[str], qs: list[float], eps: float
     size = buffer_size(eps)
     schema = ", ".join(f"`{k}` {buffers.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, q double, value double, rank_error bigint, eps double"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Sketch(size)
-        s.loose = [np.asarray(v) for w, v in zip(pdf["weight"], pdf["vals"]) if w == 1]
-        for w, e, v in zip(pdf["weight"], pdf["error"], pdf["vals"]):
-            if w > 1:
-                s.full.setdefault(int(w), []).append((np.asarray(v), int(e)))
-        n, err, vals = s.quantiles(qs)
-        out = pd.DataFrame({"n": n, "q": qs, "value": vals, "rank_error": err, "eps": eps})
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
-
-    return buffers.groupBy(*keys).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, value, error = [], [], []
+            for rows in _buffers(b.column("b")):
+                s = Sketch(size)
+                s.loose = [v for w, _, v in rows if w == 1]
+                for w, e, v in rows:
+                    if w > 1:
+                        s.full.setdefault(w, []).append((v, e))
+                k, err, vals = s.quantiles(qs)
+                n += [k] * len(qs)
+                error += [err] * len(qs)
+                value += vals
+            at = pa.array(np.repeat(np.arange(b.num_rows), len(qs)))
+            some = [pa.array(n, pa.int64()), pa.array(qs * b.num_rows, pa.float64()), pa.array(value, pa.float64()), pa.array(error, pa.int64()), pa.array([eps] * len(n), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keys], *some], [*keys, "n", "q", "value", "rank_error", "eps"])
+
+    return buffers.groupBy(*keys).agg(_gathered()).mapInArrow(run, schema)
