@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.functions.names import plain_handle
+from corroborate.functions.text import let
 from corroborate.operators.components import solve_components
 from corroborate.session import cut
 
@@ -67,8 +68,16 @@ def trigram_frequencies(texts: DataFrame, id: str, text: str) -> DataFrame:
     """(id, dim, x): the share of each run of three characters, white space collapsed and case ignored. Counted per
     text first, so that only distinct trigrams of a text leave a task."""
     s = F.regexp_replace(F.lower(text), r"[ \t\n\r\f]+", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substr(F.col("s"), i, F.lit(3)))
-    each = texts.select(F.col(id).alias("id"), s.alias("s")).where(F.length("s") >= 3).select("id", F.explode(grams).alias("dim"))
+    chars = F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0))
+
+    def grams(c: Column) -> Column:
+        # the text beside itself moved by one and two places: linear, where substr would count from the start each time
+        n = F.size(c)
+        two = F.zip_with(c, F.slice(c, F.lit(2), n), lambda x, y: F.concat(x, y))
+        three = F.zip_with(two, F.slice(c, F.lit(3), n), lambda x, y: F.concat(x, y))
+        return F.filter(three, lambda g: g.isNotNull())
+
+    each = texts.select(F.col(id).alias("id"), s.alias("s")).where(F.length("s") >= 3).select("id", F.explode(let(chars, grams)).alias("dim"))
     counts = each.groupBy("id", "dim").agg(F.count("*").alias("n"))
     total = counts.groupBy("id").agg(F.sum("n").alias("all"))
     return counts.join(total, "id").select("id", "dim", (F.col("n") / F.col("all")).alias("x"))
