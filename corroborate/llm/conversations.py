@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corroborate.session import cut
+
 #: Seqs of one conversation are dealt into segments of this many, so that no window or group holds more than a
 #: segment of a conversation, however long it is.
 SEGMENT = 4096
@@ -58,12 +60,14 @@ def rebuild(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
     spoken = F.col("said").isNotNull()
     role = F.when(spoken, F.when(F.col("speaker") == "victim", 1).otherwise(2)).otherwise(0)
+    # seqs serve the verdict, the offsets and the turns, and are worked out once
     seqs = turns.groupBy(*key, "part", "seq").agg(
         F.count_if(spoken).alias("turns"),
         F.bit_or(role).alias("roles"),
         F.max("nameless").alias("nameless"),
         F.min(F.when(spoken, F.struct("msg_id", "speaker"))).alias("turn"),
     )
+    seqs = cut(seqs)
     stretch = seqs.groupBy(*key, "part").agg(
         F.min("seq").alias("first"),
         F.max("seq").alias("last"),
