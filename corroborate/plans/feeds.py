@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corroborate.functions import fields as E
 from corroborate.functions import names as N
 from corroborate.operators import feeds as O
+from corroborate.operators import leak as L
 from corroborate.sources.tables import table
 
 
@@ -115,6 +116,20 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rec_id", F.col("before").alias("before_rec_id"), step.alias("transition"), F.coalesce(F.col("day") > F.col("from_day"), F.lit(False)).alias("deadline_slid"))
 
 
+def repost_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Victims on several sites: whether the entries copy each other, and whether they claim the same."""
+    last = F.max_by(F.struct("org", "sector", "country", "proof", "claimed_gb"), F.struct("captured_at", "rec_id"))
+    one = table(spark, d, "victims").where("victim_id is not null and site is not null").groupBy("victim_id", "site").agg(last.alias("r"))
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "r.org", "r.sector", "r.country", "r.proof")), " "))
+    return L.repost_verdicts(one.select("victim_id", "site", words.alias("words"), F.col("r.claimed_gb").cast("string").alias("claim"))).withColumn("similarity", F.round("similarity", 6))
+
+
+def latest_market_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Of every list_id the row loaded last, ties to the greater price."""
+    last = F.max_by(F.struct("vendor_id", "category", "list_date"), F.struct("loaded_at", F.coalesce(F.nanvl("price_btc_low", F.lit(-1.0)), F.lit(-1.0)), "vendor_id", "list_date"))
+    return table(spark, d, "market_listings").where("list_id is not null").groupBy("list_id").agg(last.alias("r"), F.count("*").alias("n_rows")).select("list_id", "r.vendor_id", "r.list_date", "n_rows")
+
+
 # --- chats -------------------------------------------------------------------------------------------------------
 
 FINAL = r"(?i)final (price|offer)|not lower"
@@ -244,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prolific_vendors, vendor_profiles, vendor_concentration, shipping_lanes, multi_origin_vendors, bait_prices, feedback_velocity, listing_revisions, price_texts,
-        site_summary, reposts, weekly_bursts, weekly_parity, monthly_growth, victim_taxonomy, feed_stats, lifecycle, turn_figures, chat_tactics, tactic_frequency,
+        site_summary, reposts, weekly_bursts, weekly_parity, monthly_growth, victim_taxonomy, feed_stats, lifecycle, repost_verdicts, latest_market_rows, turn_figures, chat_tactics, tactic_frequency,
         demand_staircase, final_bluffs, deadline_theatre, chat_summary, outcome_pivot, group_demands, scrubbed_documents, negotiation_arcs, hourly_rhythm,
         timing_correlation, event_sessions,
     )
@@ -329,6 +344,12 @@ SELECT posts, t.victims, sites, round(posts / days, 6) AS posts_per_day, round((
 l AS (SELECT *, lag(status) OVER w AS s0, lag(day) OVER w AS d0, lag(rec_id) OVER w AS r0 FROM v WINDOW w AS (PARTITION BY victim_id, site ORDER BY captured_at, rec_id))
 SELECT rec_id, r0 AS before_rec_id, CASE WHEN status = 'published' THEN 'published' WHEN status = 'withdrawn' THEN 'withdrawn' WHEN status IS DISTINCT FROM s0 THEN 'escalated' ELSE 'stable' END AS transition,
   coalesce(day > d0, false) AS deadline_slid FROM l WHERE r0 IS NOT NULL""",
+    "repost_verdicts": """WITH o AS (SELECT victim_id, site, list_distinct(string_split(lower(concat_ws(' ', org, sector, country, proof)), ' ')) AS w, claimed_gb AS c FROM victims WHERE victim_id IS NOT NULL AND site IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY victim_id, site ORDER BY captured_at DESC, rec_id DESC) = 1),
+p AS (SELECT a.victim_id, a.site AS site_a, b.site AS site_b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j, a.c AS ca, b.c AS cb FROM o a JOIN o b ON a.victim_id = b.victim_id AND a.site < b.site)
+SELECT victim_id, site_a, site_b, round(j, 6) AS similarity, CASE WHEN ca IS NOT DISTINCT FROM cb THEN 'mirror' ELSE 'clone' END AS verdict FROM p WHERE j >= 0.5""",
+    "latest_market_rows": """SELECT list_id, vendor_id, list_date, count(*) OVER (PARTITION BY list_id) AS n_rows FROM market_listings WHERE list_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY loaded_at DESC, CASE WHEN price_btc_low IS NULL OR isnan(price_btc_low) THEN -1 ELSE price_btc_low END DESC, vendor_id DESC NULLS LAST, list_date DESC NULLS LAST) = 1""",
     "turn_figures": "WITH f AS (SELECT msg_id, " + _FIG.format(t="lower(content)") + " AS f, " + _DAYS.format(t="content") + " AS deadline_days FROM messages WHERE content IS NOT NULL) SELECT msg_id, len(f) AS n_figures, list_max(f) AS top_figure, deadline_days FROM f WHERE len(f) > 0 OR deadline_days IS NOT NULL",
     "chat_tactics": _TACTICS + " SELECT * FROM tags",
     "tactic_frequency": _TACTICS + """, u AS (SELECT group_name, tactic, count(*) AS chats FROM tags GROUP BY ALL), a AS (SELECT group_name, count(DISTINCT chat_id) AS n FROM turns GROUP BY 1)
