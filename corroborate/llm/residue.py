@@ -26,11 +26,10 @@ def slots(text: Column) -> Column:
     return F.transform(found, lambda m: F.lower(F.substr(m, F.lit(2), F.length(m) - 2)))
 
 
-def detected(text: Column, loose: Column | None = None, price: bool = False) -> Column:
-    """Whether a field holds residue: a mark of a template engine, the name of a slot in single brackets or one of
-    the words in `loose`, filler, an error message, a script notice, or a printed empty value. A null field and
-    a blank one hold none."""
-    named = F.exists(slots(text), lambda s: s.rlike(SLOTS) if loose is None else s.rlike(SLOTS) | F.array_contains(loose, s))
+def detected(text: Column, price: bool = False) -> Column:
+    """Whether a field holds residue: a mark of a template engine, the name of a slot in single brackets, filler, an
+    error message, a script notice, or a printed empty value. A null field and a blank one hold none."""
+    named = F.exists(slots(text), lambda s: s.rlike(SLOTS))
     one = text.rlike(MARKS) | named | text.rlike(SCRIPTS) | text.rlike(ERRORS) | text.rlike(FILLER) | text.rlike(EMPTY)
     return F.coalesce(one if price else one | text.rlike(EMPTY_TEXT), F.lit(False))
 
@@ -58,38 +57,37 @@ def empty_phrases(listings: DataFrame, least: int = 4, categories: int = 3) -> D
     )
 
 
-def loose_slots(listings: DataFrame, least: int = 5, bound: float = 0.8) -> DataFrame:
-    """One row with `loose`, the single-bracket words of titles that go with no product: on at least `least` rows,
-    and no other word stands beside the bracket in a share `bound` of them. A word in brackets that belongs to a
-    product's name always stands with the same words. The words are few (they are read out of brackets), but they
-    are counted where they lie and only kept where they are frequent."""
-    words = listings.where(F.col("title").rlike(SINGLE)).select("rec_id", F.lower("title").alias("t"), F.explode(F.array_distinct(slots(F.col("title")))).alias("slot"))
+def loose_titles(listings: DataFrame, least: int = 5, bound: float = 0.8) -> DataFrame:
+    """(title_hash) of titles with a single-bracket word that goes with no product: on at least `least` rows, and no
+    other word stands beside the bracket in a share `bound` of them. A word in brackets that belongs to a product's
+    name always stands with the same words. Counts and joins only; the words aren't brought together."""
+    words = listings.where(F.col("title").rlike(SINGLE)).select(F.xxhash64("title").alias("title_hash"), F.lower("title").alias("t"), F.explode(F.array_distinct(slots(F.col("title")))).alias("slot"))
     total = words.groupBy("slot").agg(F.count("*").alias("n"))
     beside = words.select("slot", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w")).where("w <> slot").groupBy("slot", "w").agg(F.count("*").alias("c"))
     top = beside.groupBy("slot").agg(F.max("c").alias("c"))
     loose = total.join(top, "slot", "left").where((F.col("n") >= least) & (F.coalesce("c", F.lit(0)) < bound * F.col("n")))
-    return loose.agg(F.coalesce(F.collect_set("slot"), F.array().cast("array<string>")).alias("loose"))
+    return words.join(loose, "slot", "left_semi").select("title_hash").distinct()
 
 
 def flags(listings: DataFrame) -> DataFrame:
     """listings plus bad_title, bad_vendor, bad_price: which field holds residue.
 
     Detectors read each field; whether a single bracket is a slot, and whether a title's words say anything, is
-    told from evidence over all rows (loose_slots, empty_phrases), compared with the rest of the record. Null
+    told from evidence over all rows (loose_titles, empty_phrases), compared with the rest of the record. Null
     fields hold no residue; prices left open by the seller aren't cases. Repeated rows are judged alike. Extra
     columns stay as they are.
     """
-    loose = loose_slots(listings)
-    empty = empty_phrases(listings).withColumn("_says_nothing", F.lit(True))
-    seen = listings.withColumn("_sig", signature(F.col("title"))).join(empty.withColumnRenamed("sig", "_sig"), "_sig", "left")
-    # one row, a set of a few words
-    seen = seen.crossJoin(F.broadcast(loose.withColumnRenamed("loose", "_loose")))
-    title = detected(F.col("title"), F.col("_loose")) | F.coalesce(F.col("_says_nothing"), F.lit(False))
+    loose = loose_titles(listings).select(F.col("title_hash").alias("_title"), F.lit(True).alias("_loose"))
+    empty = empty_phrases(listings).select(F.col("sig").alias("_sig"), F.lit(True).alias("_says_nothing"))
+    hashed = listings.withColumns({"_sig": signature(F.col("title")), "_title": F.xxhash64("title")})
+    seen = hashed.join(empty, "_sig", "left").join(loose, "_title", "left")
+    no = F.lit(False)
+    title = detected(F.col("title")) | (F.col("title").isNotNull() & (F.coalesce("_says_nothing", no) | F.coalesce("_loose", no)))
     return (
         seen.withColumn("bad_title", title)
         .withColumn("bad_vendor", detected(F.col("vendor")))
         .withColumn("bad_price", detected(F.col("price_text"), price=True))
-        .drop("_sig", "_says_nothing", "_loose")
+        .drop("_sig", "_title", "_says_nothing", "_loose")
     )
 
 
