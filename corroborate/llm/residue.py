@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,25 @@ SLOTS = r"(?i)(?:^|[._ ])(?:title|name|headline|heading|handle|vendor|seller|use
 # fixed values: phrases of notices that scripts are needed, of errors and of maintenance
 SCRIPTS = r"(?i)\b(?:enable|activate|allow|turn\s+on|switch\s+on|unblock|activez|activer|activa|activar|attiva|aktivieren|aktiviere|habilit\w+)\b.{0,30}?\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b\s+(?:(?:is|are|must be|sind|ist)\s+)?(?:required|disabled|blocked|needed|necessary|enabled|erforderlich)|\b(?:requires?|needs?|benötigt|braucht|nécessite|requiere)\s+(?:javascript|scripts?|cookies)|\b(?:only with|nur mit|seulement avec|solo con)\s+javascript|\bnot\s+run\s+scripts\b|^\W*noscript\b|\bchecking your browser\b"
 ERRORS = r"(?i)\b[45]\d\d\b[\s:,-]*(?:bad gateway|forbidden|not found|unauthori[sz]ed|service unavailable|internal server error|gateway time-?out|too many requests|bad request)|\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bgateway time-?out\b|\bconnection (?:timed out|refused|failed|reset)\b|\b(?:database|data store) connection\b|\berror establishing\b|\btraceback \(most recent call|\b(?:fatal|uncaught|syntax) error:|\b(?:Key|Type|Value|Attribute|Reference)Error\b|\baccess denied\b|\bsession expired\b|\btoo many requests\b|\bsomething went wrong\b|\bpage (?:could not be|was not|not) found\b|\bpage introuvable\b|\bseite nicht gefunden\b|\bpágina no encontrada\b|\bwartungsarbeiten\b|\b(?:under|scheduled) maintenance\b|\brequest failed\b|^\W*error\s*\d{0,5}\W*$|\btime-?out:|\bservice unavailable\b|^\W*loading\b.*(?:\.\.\.|…)\W*$|\bstack trace\b"
-FILLER = r"(?i)^\W*(?:lorem\s+ipsum|dolor\s+sit\s+amet)(?:[\s,.]+(?:dolor|sit|amet|consectetur|adipiscing|elit|\d+))*\W*$|^\W*(\w{2,})(?:\W+\1)+(?:\s+\d+)?\W*$|^\W*(\w{2,6})\2+\W*$|^\W*x{3,}(?:\W+x+)*(?:\s+\d+)?\W*$|^\W*foo\W+bar\b|^\W*(?:asdf|qwerty)\b|\b(?:placeholder|fill in later|change me|replace me|goes here)\b|\b(?:your|insert|sample|example)\s+(?:product|shop|store|title|name|price|item|listing|text)\b|^\W*tbd(?:\W*$|\s+-)|^\W*untitled\b|\(draft\)|\bcopy of template\b|\btemplate (?:default|owner)\b|\bprice here\b|\bXX[.,]XX\b|^\W*(?:vendor|seller|user|shop|item|product)_(?:handle|name|title|id)(?:_here)?\W*$|_here\W*$|\bto be announced by\b"
+FILLER = r"(?i)^\W*(?:lorem\s+ipsum|dolor\s+sit\s+amet)(?:[\s,.]+(?:dolor|sit|amet|consectetur|adipiscing|elit|\d+))*\W*$|^\W*foo\W+bar\b|^\W*(?:asdf|qwerty)\b|\b(?:placeholder|fill in later|change me|replace me|goes here)\b|\b(?:your|insert|sample|example)\s+(?:product|shop|store|title|name|price|item|listing|text)\b|^\W*tbd(?:\W*$|\s+-)|^\W*untitled\b|\(draft\)|\bcopy of template\b|\btemplate (?:default|owner)\b|\bprice here\b|\bXX[.,]XX\b|^\W*(?:vendor|seller|user|shop|item|product)_(?:handle|name|title|id)(?:_here)?\W*$|_here\W*$|\bto be announced by\b"
+#: A word or a run of letters again and again.
+REPEATED = r"(?i)^\W*(\w{2,})(?:\W+\1)+(?:\s+\d+)?\W*$|^\W*(\w{2,6})\2+\W*$|^\W*x{3,}(?:\W+x+)*(?:\s+\d+)?\W*$"
 EMPTY = r"(?i)^\W*(?:null|undefined|nan)(?:\W+(?:null|undefined|nan|none|usd|eur|gbp|btc|xmr))*\W*$|^\W*(?:usd|eur|gbp|btc|xmr)\W+(?:null|undefined|nan)\W*$"
 EMPTY_TEXT = r"(?i)^\W*none(?:\W+none)*\W*$"
 
 
+# fixed values: what a text must hold, in lower case, for a lexicon to match at all; looked for first, as it is cheap
+SCRIPT_STEMS = ("script", "cookie", "checking your")
+ERROR_STEMS = ("gateway", "forbidden", "found", "unauthori", "unavailable", "error", "request", "connection", "traceback", "denied", "expired", "wrong", "introuvable", "gefunden", "encontrada",
+               "wartung", "maintenance", "timeout", "time-out", "loading", "stack trace")
+FILLER_STEMS = ("lorem", "dolor", "foo", "asdf", "qwerty", "placeholder", "fill in", "change me", "replace me", "goes here", "your", "insert", "sample", "example", "tbd", "untitled", "(draft)",
+                "copy of template", "template default", "template owner", "price here", "xx.xx", "xx,xx", "_handle", "_name", "_title", "_id", "_here", "to be announced")
+
+
+def _holds(low: Column, stems: tuple[str, ...]) -> Column:
+    return functools.reduce(Column.__or__, [low.contains(x) for x in stems])
+
+
 def slots(text: Column) -> Column:
     """ARRAY<STRING>: the words in single brackets, in lower case."""
     found = F.regexp_extract_all(text, F.lit(SINGLE), F.lit(0))
@@ -29,8 +45,10 @@ def slots(text: Column) -> Column:
 def detected(text: Column, price: bool = False) -> Column:
     """Whether a field holds residue: a mark of a template engine, the name of a slot in single brackets, filler, an
     error message, a script notice, or a printed empty value. A null field and a blank one hold none."""
-    named = F.exists(slots(text), lambda s: s.rlike(SLOTS))
-    one = text.rlike(MARKS) | named | text.rlike(SCRIPTS) | text.rlike(ERRORS) | text.rlike(FILLER) | text.rlike(EMPTY)
+    low = F.lower(text)
+    marked = text.rlike(r"[{\[<$#%@&_]") & (text.rlike(MARKS) | F.exists(slots(text), lambda s: s.rlike(SLOTS)))
+    said = (_holds(low, SCRIPT_STEMS) & text.rlike(SCRIPTS)) | (_holds(low, ERROR_STEMS) & text.rlike(ERRORS)) | (_holds(low, FILLER_STEMS) & text.rlike(FILLER))
+    one = marked | said | text.rlike(REPEATED) | text.rlike(EMPTY)
     return F.coalesce(one if price else one | text.rlike(EMPTY_TEXT), F.lit(False))
 
 
