@@ -14,7 +14,7 @@ from corroborate.operators.components import components
 from corroborate.operators.ranking import nearest_by_xor
 from corroborate.operators.simjoin import similar_pairs
 from corroborate.plans.pages import exact_mirrors, near_duplicates
-from corroborate.session import cut
+from corroborate.session import cut, spread
 from corroborate.sources.tables import table
 
 
@@ -102,8 +102,8 @@ def persona_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_style(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null and source is not null")
-    return V.style_similarity(docs, "source", "text")
+    docs = table(spark, d, "documents").where("text is not null and source is not null").select("source", "text")
+    return V.style_similarity(spread(docs), "source", "text")
 
 
 def capture_fields(spark: SparkSession, d: str) -> DataFrame:
