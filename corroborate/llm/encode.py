@@ -70,8 +70,9 @@ class ForcedCuts:
                 self.known[piece] = ids
         return ids
 
-    def fragments(self, data: bytes) -> Iterator[list[int]]:
-        at = self.cuts(data)
+    def fragments(self, data: bytes, at: list[int] | None = None) -> Iterator[list[int]]:
+        """The ids of each fragment; at: the cuts, where the caller knows more than the certain ones."""
+        at = self.cuts(data) if at is None else at
         known, fragment = self.known, self.fragment
         for a, z in zip(at, at[1:]):
             piece = data[a:z]

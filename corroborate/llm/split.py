@@ -22,8 +22,36 @@ BLOCK = 24
 LEAST_FILL = 0.5
 
 _WORD = re.compile(r"\w+")
-# where a text lets itself be cut: at the end of a line, or after a sentence
-_GAP = re.compile(r"\n+|(?<=[.!?…;])[\"')\]”’]*\s+|(?<=[。！？；])")
+# where a text lets itself be cut: at the end of a line, or after a sentence with the marks that close it
+_GAP = re.compile(r"\n+|[.!?…;][\"')\]”’]*+(?=\s)|[。！？；][。！？；\"')\]”’」』）】》]*+")
+# ends of words that the certain cuts may miss: white space of both Python and the tokenizer, next to other than ASCII
+_WORD_END = re.compile(r"[^\x00-\x7f\s](?=[^\S\x1c-\x1f])|\S(?=[^\S\x00-\x7f])")
+
+
+def gap_offsets(text: str) -> list[int]:
+    """The line and sentence ends within a text, in characters: each before its white space and after the marks that
+    close a sentence, in order."""
+    out, last = [], 0
+    for m in _GAP.finditer(text):
+        c = m.end()
+        if text[c - 1] == "\n":
+            c = m.start()
+            while c > last and text[c - 1].isspace():
+                c -= 1
+            if c == last:  # more white space of the same gap
+                last = m.end()
+                continue
+            last = m.end()
+        if 0 < c < len(text) and (not out or c > out[-1]):
+            out.append(c)
+    return out
+
+
+def parts_words(text: str, c: int) -> bool:
+    """Whether the tokenizer's pattern starts anew at a gap whatever surrounds it: white space after none, or a letter
+    or digit after a mark that opens no contraction."""
+    after = text[c]
+    return not "\x1c" <= after <= "\x1f" if after.isspace() else after.isalnum() and text[c - 1] != "'"
 
 
 class Cohesion:
@@ -69,81 +97,95 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[int, int,
 
     Tokens are those of the whole text's encoding while cutting; `tokens` is what the piece encoded by itself has,
     and never exceeds `most`. Each piece but the first starts `overlap` tokens before the end of the one before
-    (`shared`; a few more where that would part a character). A piece ends at the gap (line or sentence end) with
-    the deepest cohesion valley in the last half of its window, else before the last white space, else at the last
-    certain cut, else at the last token that ends a character.
+    (`shared`; a few more where that would part a character, or where a piece ends inside a token). A piece ends at
+    the gap (line or sentence end, whatever characters it is between) with the deepest cohesion valley in the last
+    half of its window, else before the last white space, else at the last certain cut, else at the last token that
+    ends a character.
     """
     data = text.encode("utf-8", "surrogatepass")
     if len(data) <= most:
         return []
     at = enc.cuts(data)
-    parts = list(enc.fragments(data))
+    parts = list(enc.fragments(data, at))
+    if sum(map(len, parts)) <= most:
+        return []
+    raw = np.frombuffer(data, dtype=np.uint8)
+    whole = np.ones(len(data) + 1, dtype=bool)  # offsets that start a character
+    whole[:-1] = (raw & 0xC0) != 0x80
+    chars = np.concatenate(([0], np.cumsum(whole[:-1])))  # characters before each byte
+    byte_of_char = np.flatnonzero(whole)
+    gap_chars = gap_offsets(text)
+    gap_bytes = byte_of_char[np.asarray(gap_chars, dtype=np.int64)].tolist()
+    # where the pattern starts anew no token reaches across either, so the fragments may be cut there too
+    new = {z for c, z in zip(gap_chars, gap_bytes) if parts_words(text, c)}
+    if not text.isascii():
+        new.update(byte_of_char[np.asarray([m.end() for m in _WORD_END.finditer(text)], dtype=np.int64)].tolist())
+    if not new.issubset(at):
+        at = sorted(new.union(at))
+        parts = list(enc.fragments(data, at))
     cut_tokens = [0, *itertools.accumulate(map(len, parts))]  # tokens before each cut
     total = cut_tokens[-1]
-    if total <= most:
-        return []
     overlap = max(0, min(overlap, most // 2))
     ids = list(itertools.chain.from_iterable(parts))
     lengths = enc.lengths[np.asarray(ids, dtype=np.int64)]
     byte = np.concatenate(([0], np.cumsum(lengths)))  # where each token starts
-    whole = np.ones(len(data) + 1, dtype=bool)  # offsets that start a character
-    raw = np.frombuffer(data, dtype=np.uint8)
-    whole[:-1] = (raw & 0xC0) != 0x80
-    chars = np.concatenate(([0], np.cumsum(whole[:-1])))  # characters before each byte
-
-    # gaps that are certain cuts or next to one: the first cut at or before the gap's white space
-    gap_chars, gap_tokens = [], []
-    byte_of_char = np.flatnonzero(whole)
-    cut_index = dict(zip(at, range(len(at))))
-    byte_of_char = byte_of_char.tolist()
-    for m in _GAP.finditer(text):
-        for c in (m.start(), m.end()):
-            i = cut_index.get(byte_of_char[c])
-            if i is not None and 0 < i < len(at) - 1:
-                gap_chars.append(c)
-                gap_tokens.append(cut_tokens[i])
-                break
+    # the tokens that start before each gap; where it lies inside a token that one counts
+    gap_tokens = np.searchsorted(byte, gap_bytes).tolist()
     cohesion = Cohesion(text, gap_chars)
 
+    def alone(a: int, z: int) -> int:
+        return len(enc.encode(data[a:z].decode("utf-8", "surrogatepass")))
+
     pieces = []
     start, ended = 0, 0  # tokens where the piece starts and where the one before ended
     while True:
         first = bisect.bisect_left(cut_tokens, start)
+        a = int(byte[start])
         # the part of a fragment a piece starts with may have more tokens by itself than in the text
-        head = data[byte[start] : at[first]]
+        head = data[a : at[first]]
         extra = (len(enc.bpe.encode_ordinary(head.decode("utf-8", "surrogatepass"))) - (cut_tokens[first] - start)) if head else 0
         limit = start + most - max(0, extra)
+
+        def count(z: int) -> int:
+            """Tokens of the piece by itself if it ends at byte z."""
+            i = bisect.bisect_right(at, z) - 1
+            if i < first:
+                return alone(a, z)
+            return cut_tokens[i] - start + extra + (alone(at[i], z) if at[i] < z else 0)
+
         if total <= limit:
-            end = total
+            end, z = total, len(data)
         else:
             least = max(ended + 1, start + overlap + 1, int(start + most * LEAST_FILL))
-            end = 0
+            end = z = 0
             lo, hi = bisect.bisect_left(gap_tokens, least), bisect.bisect_right(gap_tokens, limit)
             if lo < hi:
-                end = gap_tokens[cohesion.deepest(lo, hi)]
+                i = cohesion.deepest(lo, hi)
+                if count(gap_bytes[i]) > most:  # inside a token: the next deepest that fits
+                    i = next((j for j in sorted(range(lo, hi), key=lambda j: (-cohesion.depth(j), -j)) if count(gap_bytes[j]) <= most), -1)
+                if i >= 0:
+                    end, z = gap_tokens[i], gap_bytes[i]
             if not end:
                 i = bisect.bisect_right(cut_tokens, limit) - 1
                 spaces = i
-                while spaces > 0 and cut_tokens[spaces] >= least and not data[at[spaces] : at[spaces] + 1].isspace():
+                while spaces > 0 and cut_tokens[spaces] >= least and not text[chars[at[spaces]] : chars[at[spaces]] + 1].isspace():
                     spaces -= 1
                 for j in (spaces, i):
                     if j > 0 and cut_tokens[j] > max(ended, start + overlap):
-                        end = cut_tokens[j]
+                        end, z = cut_tokens[j], at[j]
                         break
             if not end:  # one long fragment
                 end = limit
-                while end > start + 1 and (not whole[byte[end]] or len(enc.encode(data[byte[start] : byte[end]].decode("utf-8", "surrogatepass"))) > most):
+                while end > start + 1 and (not whole[byte[end]] or alone(a, int(byte[end])) > most):
                     end -= 1
-        a, z = int(byte[start]), int(byte[end])
-        if end == total or z in cut_index:
-            tokens = end - start + extra
-        else:
-            tokens = len(enc.encode(data[a:z].decode("utf-8", "surrogatepass")))
-        pieces.append((int(chars[a]), int(chars[z]), tokens, ended - start))
+                z = int(byte[end])
+        pieces.append((int(chars[a]), int(chars[z]), count(z), ended - start))
         if end >= total:
             return pieces
         ended = end
-        start = max(end - overlap, start + 1)
+        # a piece that ends inside a token is followed from that token's start at the latest
+        last = end if byte[end] == z else end - 1
+        start = min(max(last - overlap, start + 1), last)
         while start > 0 and not whole[byte[start]]:
             start -= 1
 

@@ -64,6 +64,35 @@ def test_pieces_of_odd_texts(text):
     assert check_pieces(text, 64, 7)
 
 
+@pytest.mark.parametrize(
+    ("sentence", "ends"),
+    [
+        ("名单里的文件只有两个能打开。", "。"), ("镜像页面与原页面不一致！", "！"), ("“货物三天前已经寄出。”", "。”"), ("《目录》已经寄出；", "；"), ("这是第一行没有句号\n", "号"), ("Il est arrivé au café\n", "é"),
+        ('He said "we waited for the ship." ', '."'), ("Nobody knew why… ", "…"), ("She said “the ship has left.” ", ".”"), ("A line that ends in white space  \t\n", "space"), ("Все уехали вчера вечером\r\n", "м"),
+    ],
+)
+@pytest.mark.parametrize("overlap", [0, 5])
+def test_ends_next_to_any_character(sentence, ends, overlap):
+    text = sentence * 60
+    pieces = check_pieces(text, 64, overlap)
+    assert len(pieces) > 2
+    for a, z, _, _ in pieces[:-1]:
+        assert text[a:z].endswith(ends), text[a:z]
+
+
+def test_white_space_after_any_character():
+    text = "名单 где é中 été’ " * 80
+    for _, z, _, _ in check_pieces(text, 64, 5)[:-1]:
+        assert text[z].isspace()
+
+
+def test_end_inside_a_token():
+    # a mark and what follows it may share a token: the piece still ends at the mark
+    text = "名单里的文件只有两个能打开。🙂中文。—《中》。「字」！？" * 40
+    for a, z, _, _ in check_pieces(text, 48, 0)[:-1]:
+        assert text[z - 1] in "。！？"
+
+
 def test_cut_at_topic(spark):
     cats, ships = "The cat licked the cat's paw. A cat purrs softly. " * 6, "Ships sail from the harbour. The ship met a storm. " * 6
     pieces = split.split_text(cats + ships, ENC, int(len(ENC.encode(cats)) * 1.3), 0)
