@@ -18,7 +18,7 @@ from corroborate.llm.encode import encoder, tokenizer_path
 
 #: Words on either side of a gap whose likeness is the cohesion there.
 BLOCK = 24
-#: Pieces end in the last part of their window, so that none is made needlessly short.
+#: Pieces end in the last part of their window where a gap lies there, so that none is made needlessly short.
 LEAST_FILL = 0.5
 
 _WORD = re.compile(r"\w+")
@@ -99,8 +99,8 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[int, int,
     and never exceeds `most`. Each piece but the first starts `overlap` tokens before the end of the one before
     (`shared`; a few more where that would part a character, or where a piece ends inside a token). A piece ends at
     the gap (line or sentence end, whatever characters it is between) with the deepest cohesion valley in the last
-    half of its window, else before the last white space, else at the last certain cut, else at the last token that
-    ends a character.
+    half of its window, else at the last gap of the first half, else before the last white space, else at the last
+    certain cut, else at the last token that ends a character.
     """
     data = text.encode("utf-8", "surrogatepass")
     if len(data) <= most:
@@ -156,7 +156,8 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[int, int,
         if total <= limit:
             end, z = total, len(data)
         else:
-            least = max(ended + 1, start + overlap + 1, int(start + most * LEAST_FILL))
+            past = max(ended, start + overlap) + 1  # a piece has to bring something new
+            least = max(past, int(start + most * LEAST_FILL))
             end = z = 0
             lo, hi = bisect.bisect_left(gap_tokens, least), bisect.bisect_right(gap_tokens, limit)
             if lo < hi:
@@ -165,6 +166,10 @@ def split_text(text: str, enc, most: int, overlap: int) -> list[tuple[int, int,
                     i = next((j for j in sorted(range(lo, hi), key=lambda j: (-cohesion.depth(j), -j)) if count(gap_bytes[j]) <= most), -1)
                 if i >= 0:
                     end, z = gap_tokens[i], gap_bytes[i]
+            if not end:
+                i = next((j for j in range(lo - 1, bisect.bisect_left(gap_tokens, past) - 1, -1) if count(gap_bytes[j]) <= most), -1)
+                if i >= 0:
+                    end, z = gap_tokens[i], gap_bytes[i]
             if not end:
                 i = bisect.bisect_right(cut_tokens, limit) - 1
                 spaces = i

@@ -86,6 +86,15 @@ def test_white_space_after_any_character():
         assert text[z].isspace()
 
 
+@pytest.mark.parametrize("overlap", [0, 5])
+def test_end_in_the_first_half(overlap):
+    # the only end of the first window lies in its first half
+    text = "The ship has left the harbour. " + "and then it sailed on and on " * 30
+    pieces = check_pieces(text, 64, overlap)
+    assert text[: pieces[0][1]] == "The ship has left the harbour."
+    assert len(pieces) > 3 and text[pieces[1][1]].isspace()
+
+
 def test_end_inside_a_token():
     # a mark and what follows it may share a token: the piece still ends at the mark
     text = "名单里的文件只有两个能打开。🙂中文。—《中》。「字」！？" * 40
