@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: what template engines, spreadsheets and programs leave behind, whatever stands inside
-MARKS = r"\{\{[^{}]{0,80}\}\}|\{%[^%]{0,80}%\}|<%=?[^%]{0,80}%>|[$#]\{[^{}]{1,80}\}|\[\[[^\[\]]{1,80}\]\]|@@\w{1,60}@@|(?<![A-Za-z0-9])__[A-Z][A-Z0-9_]{0,60}__|%7B%7B.{1,80}?%7D%7D|&#123;&#123;.{1,80}?&#125;&#125;|(?<![\w%])%[A-Z][A-Z_]{2,60}%|\[object \w+\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]|\$NaN\b|</?noscript>"
+MARKS = r"\{\{[^{}]*\}\}|\{%[^%]*%\}|<%=?[^%]*%>|[$#]\{[^{}]+\}|\[\[[^\[\]]+\]\]|@@\w+@@|(?<![A-Za-z0-9])__[A-Z][A-Z0-9_]*__|%7B%7B.+?%7D%7D|&#123;&#123;.+?&#125;&#125;|(?<![\w%])%[A-Z][A-Z_]{2,}%|\[object \w+\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]|\$NaN\b|</?noscript>"
 #: A single bracket may be content, so the word inside must be the name of a slot, or the corpus must show that it
 #: goes with no product.
-SINGLE = r"(?<![{\[<$#%&])(?:\{([A-Za-z_][\w. ]{0,40})\}|\[([A-Za-z_][\w. ]{0,40})\]|<([A-Za-z_][\w. ]{0,40})>)(?![}\]>])"
+SINGLE = r"(?<![{\[<$#%&])(?:\{([A-Za-z_][\w. ]*)\}|\[([A-Za-z_][\w. ]*)\]|<([A-Za-z_][\w. ]*)>)(?![}\]>])"
 SLOTS = r"(?i)(?:^|[._ ])(?:title|name|headline|heading|handle|vendor|seller|user|shop|store|price|price_usd|price usd|amount|cost|total|currency|size|weight|colou?r|capacity|model|brand|count|quantity|qty|description|category|image|url|link|date|email|item|product|listing|offer|value|text|content|placeholder)$"
 
 # fixed values: phrases of notices that scripts are needed, of errors and of maintenance
