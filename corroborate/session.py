@@ -14,6 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,22 +31,24 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir. Only where none is named (tests on one
-    machine) a temporary folder is made."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where none is named, the folder the context
+    already has; only on a single machine a temporary one is made, elsewhere this raises: executors on other machines
+    couldn't read it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="corroborate-checkpoint-"))
-        return sc.getCheckpointDir()
     if sc.getCheckpointDir() is None:
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="corroborate-checkpoint-")
         sc.setCheckpointDir(named)
-    return named
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint: the lineage ends there and a lost executor costs no rerun
-    of what came before. Spark's cleaner removes the files once nothing refers to them."""
+    """The same rows, read from a reliable checkpoint: the lineage ends there and a lost executor costs no rerun of
+    what came before. With spark.cleaner.referenceTracking.cleanCheckpoints, set in SETTINGS and to be set on a
+    cluster, Spark removes the files once nothing refers to them."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

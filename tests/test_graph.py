@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corroborate.operators import evidence as V
 from corroborate.operators import report as R
 from corroborate.operators import scoring as S
-from corroborate.operators.components import components
+from corroborate.operators.components import components, solve_components
 from corroborate.operators.ranking import greedy_route
 from corroborate.operators.simjoin import near_duplicate_classes, similar_pairs
 
@@ -130,3 +130,25 @@ def test_greedy_route(spark):
     df = spark.createDataFrame(n, "node int, place double, next int, next_place double")
     got = {r.start: (r.node, r.hops) for r in greedy_route(df, spark.createDataFrame([(i, i / 10) for i in range(10)], "node int, place double"), 0.5).collect()}
     assert got[5] == (5, 0) and got[0][0] == 5 and got[0][1] == 5 and got[2] == (5, 3)
+
+
+def test_components_raise_at_the_limit(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(500)], "u bigint, v bigint")
+    with pytest.raises(RuntimeError):
+        solve_components(df, max_rounds=1)
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from corroborate import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session)
