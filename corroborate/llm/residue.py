@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corroborate.session import cut
+
 # fixed values: what template engines, spreadsheets and programs leave behind, whatever stands inside
 MARKS = r"\{\{[^{}]*\}\}|\{%[^%]*%\}|<%=?[^%]*%>|[$#]\{[^{}]+\}|\[\[[^\[\]]+\]\]|@@\w+@@|(?<![A-Za-z0-9])__[A-Z][A-Z0-9_]*__|%7B%7B.+?%7D%7D|&#123;&#123;.+?&#125;&#125;|(?<![\w%])%[A-Z][A-Z_]{2,}%|\[object \w+\]|#(?:REF|VALUE|NAME|DIV/0|N/A)[!?]|\$NaN\b|</?noscript>"
 #: A single bracket may be content, so the word inside must be the name of a slot, or the corpus must show that it
@@ -14,10 +17,13 @@ MARKS = r"\{\{[^{}]*\}\}|\{%[^%]*%\}|<%=?[^%]*%>|[$#]\{[^{}]+\}|\[\[[^\[\]]+\]\]
 SINGLE = r"(?<![{\[<$#%&])(?:\{([A-Za-z_][\w. ]*)\}|\[([A-Za-z_][\w. ]*)\]|<([A-Za-z_][\w. ]*)>)(?![}\]>])"
 SLOTS = r"(?i)(?:^|[._ ])(?:title|name|headline|heading|handle|vendor|seller|user|shop|store|price|price_usd|price usd|amount|cost|total|currency|size|weight|colou?r|capacity|model|brand|count|quantity|qty|description|category|image|url|link|date|email|item|product|listing|offer|value|text|content|placeholder)$"
 
-# fixed values: phrases of notices that scripts are needed, of errors and of maintenance
-SCRIPTS = r"(?i)\b(?:enable|activate|allow|turn\s+on|switch\s+on|unblock|activez|activer|activa|activar|attiva|aktivieren|aktiviere|habilit\w+)\b.{0,30}?\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b\s+(?:(?:is|are|must be|sind|ist)\s+)?(?:required|disabled|blocked|needed|necessary|enabled|erforderlich)|\b(?:requires?|needs?|benötigt|braucht|nécessite|requiere)\s+(?:javascript|scripts?|cookies)|\b(?:only with|nur mit|seulement avec|solo con)\s+javascript|\bnot\s+run\s+scripts\b|^\W*noscript\b|\bchecking your browser\b"
-ERRORS = r"(?i)\b[45]\d\d\b[\s:,-]*(?:bad gateway|forbidden|not found|unauthori[sz]ed|service unavailable|internal server error|gateway time-?out|too many requests|bad request)|\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bgateway time-?out\b|\bconnection (?:timed out|refused|failed|reset)\b|\b(?:database|data store) connection\b|\berror establishing\b|\btraceback \(most recent call|\b(?:fatal|uncaught|syntax) error:|\b(?:Key|Type|Value|Attribute|Reference)Error\b|\baccess denied\b|\bsession expired\b|\btoo many requests\b|\bsomething went wrong\b|\bpage (?:could not be|was not|not) found\b|\bpage introuvable\b|\bseite nicht gefunden\b|\bpágina no encontrada\b|\bwartungsarbeiten\b|\b(?:under|scheduled) maintenance\b|\brequest failed\b|^\W*error\s*\d{0,5}\W*$|\btime-?out:|\bservice unavailable\b|^\W*loading\b.*(?:\.\.\.|…)\W*$|\bstack trace\b"
-FILLER = r"(?i)^\W*(?:lorem\s+ipsum|dolor\s+sit\s+amet)(?:[\s,.]+(?:dolor|sit|amet|consectetur|adipiscing|elit|\d+))*\W*$|^\W*foo\W+bar\b|^\W*(?:asdf|qwerty)\b|\b(?:placeholder|fill in later|change me|replace me|goes here)\b|\b(?:your|insert|sample|example)\s+(?:product|shop|store|title|name|price|item|listing|text)\b|^\W*tbd(?:\W*$|\s+-)|^\W*untitled\b|\(draft\)|\bcopy of template\b|\btemplate (?:default|owner)\b|\bprice here\b|\bXX[.,]XX\b|^\W*(?:vendor|seller|user|shop|item|product)_(?:handle|name|title|id)(?:_here)?\W*$|_here\W*$|\bto be announced by\b"
+# fixed values: phrases of notices that scripts are needed, of errors and of fillers, in English; other languages and
+# wordings are left to the evidence of the corpus
+SCRIPTS = r"(?i)\b(?:enable|activate|allow|turn\s+on|switch\s+on|unblock)\b.{0,30}?\b(?:javascript|scripts?|cookies)\b|\b(?:javascript|scripts?|cookies)\b\s+(?:(?:is|are|must be)\s+)?(?:required|disabled|blocked|needed|necessary|enabled)|\b(?:requires?|needs?)\s+(?:javascript|scripts?|cookies)|\bnot\s+run\s+scripts\b|^\W*noscript\b|\bchecking your browser\b"
+ERRORS = r"(?i)\b[45]\d\d\b[\s:,-]*(?:bad gateway|forbidden|not found|unauthori[sz]ed|service unavailable|internal server error|gateway time-?out|too many requests|bad request)|\binternal server error\b|\bbad gateway\b|\bservice unavailable\b|\bgateway time-?out\b|\bconnection (?:timed out|refused|failed|reset)\b|\b(?:database|data store) connection\b|\btraceback \(most recent call|\b(?:fatal|uncaught|syntax) error:|\b(?:Key|Type|Value|Attribute|Reference)Error\b|\baccess denied\b|\bsession expired\b|\btoo many requests\b|\bsomething went wrong\b|\bpage (?:could not be|was not|not) found\b|\b(?:under|scheduled) maintenance\b|\brequest failed\b|^\W*error\s*\d{0,5}\W*$|\btime-?out:|^\W*loading\b.*(?:\.\.\.|…)\W*$|\bstack trace\b"
+FILLER = r"(?i)^\W*(?:lorem\s+ipsum|dolor\s+sit\s+amet)(?:[\s,.]+(?:dolor|sit|amet|consectetur|adipiscing|elit|\d+))*\W*$|^\W*foo\W+bar\b|^\W*(?:asdf|qwerty)\b|\b(?:placeholder|fill in later|change me|replace me|goes here)\b|\b(?:your|insert|sample|example)\s+(?:product|shop|store|title|name|price|item|listing|text)\b|^\W*tbd(?:\W*$|\s+-)|^\W*untitled\b|\(draft\)|\bcopy of template\b|\btemplate (?:default|owner)\b|\bprice here\b|\bXX[.,]XX\b|^\W*(?:vendor|seller|user|shop|item|product)_(?:handle|name|title|id)(?:_here)?\W*$|_here\W*$"
+#: No price speaks of these.
+PRICE_NOTICE = r"(?i)javascript|\bscripts?\b|\bcookies\b"
 #: A word or a run of letters again and again.
 REPEATED = r"(?i)^\W*(\w{2,})(?:\W+\1)+(?:\s+\d+)?\W*$|^\W*(\w{2,6})\2+\W*$|^\W*x{3,}(?:\W+x+)*(?:\s+\d+)?\W*$"
 EMPTY = r"(?i)^\W*(?:null|undefined|nan)(?:\W+(?:null|undefined|nan|none|usd|eur|gbp|btc|xmr))*\W*$|^\W*(?:usd|eur|gbp|btc|xmr)\W+(?:null|undefined|nan)\W*$"
@@ -26,10 +32,16 @@ EMPTY_TEXT = r"(?i)^\W*none(?:\W+none)*\W*$"
 
 # fixed values: what a text must hold, in lower case, for a lexicon to match at all; looked for first, as it is cheap
 SCRIPT_STEMS = ("script", "cookie", "checking your")
-ERROR_STEMS = ("gateway", "forbidden", "found", "unauthori", "unavailable", "error", "request", "connection", "traceback", "denied", "expired", "wrong", "introuvable", "gefunden", "encontrada",
-               "wartung", "maintenance", "timeout", "time-out", "loading", "stack trace")
+ERROR_STEMS = ("gateway", "forbidden", "found", "unauthori", "unavailable", "error", "request", "connection", "traceback", "denied", "expired", "wrong", "maintenance", "timeout", "time-out", "loading",
+               "stack trace")
 FILLER_STEMS = ("lorem", "dolor", "foo", "asdf", "qwerty", "placeholder", "fill in", "change me", "replace me", "goes here", "your", "insert", "sample", "example", "tbd", "untitled", "(draft)",
-                "copy of template", "template default", "template owner", "price here", "xx.xx", "xx,xx", "_handle", "_name", "_title", "_id", "_here", "to be announced")
+                "copy of template", "template default", "template owner", "price here", "xx.xx", "xx,xx", "_handle", "_name", "_title", "_id", "_here")
+
+#: Log odds a phrase of the lexicons stands for, and from which a title is residue.
+PHRASE = 14.0
+RESIDUE = 3.0
+#: How often a record is filed under another category than its goods', or names them in its slug or body by chance.
+MISFILED = 0.05
 
 
 def _holds(low: Column, stems: tuple[str, ...]) -> Column:
@@ -42,37 +54,61 @@ def slots(text: Column) -> Column:
     return F.transform(found, lambda m: F.lower(F.substr(m, F.lit(2), F.length(m) - 2)))
 
 
-def detected(text: Column, price: bool = False) -> Column:
-    """Whether a field holds residue: a mark of a template engine, the name of a slot in single brackets, filler, an
-    error message, a script notice, or a printed empty value. A null field and a blank one hold none."""
+def marked(text: Column) -> Column:
+    """Whether a text holds a mark of a template engine, the name of a slot in single brackets, or a printed empty
+    value: signs that need no further evidence. Never null."""
+    likely = text.rlike(r"[{\[<$#%@&_]") & (text.rlike(MARKS) | F.exists(slots(text), lambda s: s.rlike(SLOTS)))
+    return F.coalesce(likely | text.rlike(EMPTY), F.lit(False))
+
+
+def phrased(text: Column) -> Column:
+    """Whether a text holds a phrase of a lexicon or nothing but a word or letters again and again. Never null."""
     low = F.lower(text)
-    marked = text.rlike(r"[{\[<$#%@&_]") & (text.rlike(MARKS) | F.exists(slots(text), lambda s: s.rlike(SLOTS)))
     said = (_holds(low, SCRIPT_STEMS) & text.rlike(SCRIPTS)) | (_holds(low, ERROR_STEMS) & text.rlike(ERRORS)) | (_holds(low, FILLER_STEMS) & text.rlike(FILLER))
-    one = marked | said | text.rlike(REPEATED) | text.rlike(EMPTY)
-    return F.coalesce(one if price else one | text.rlike(EMPTY_TEXT), F.lit(False))
+    return F.coalesce(said | text.rlike(REPEATED), F.lit(False))
+
 
+def signature(text: Column) -> Column:
+    """A 64-bit hash of a text without case, numbers and request marks: what copies of one message share; null where
+    nothing is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\[req [^\]]*\]", ""), r"[\d\W]+", " "))
+    return F.when(bare != "", F.xxhash64(bare))
 
-def signature(title: Column) -> Column:
-    """A 64-bit hash of a title without case, numbers and request marks: what copies of one message share."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(title), r"\[req [^\]]*\]", ""), r"[\d\W]+", " ")
-    return F.xxhash64(F.trim(bare))
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}{4,}"), F.lit(0))
 
-def empty_phrases(listings: DataFrame, least: int = 4, categories: int = 3) -> DataFrame:
-    """(sig): title signatures that say nothing of what is sold: the same words on at least `least` addresses
-    (listing_id), of as many hosts (vendors), in at least `categories` definite categories. A title that describes
-    goods, however often repeated, stays in the category of the goods; one that a machine put there doesn't match
-    the body of its record. Aggregated partially; nothing is gathered per signature but counts."""
+
+def title_evidence(listings: DataFrame) -> DataFrame:
+    """(sig, llr) of repeated titles: the log likelihood ratio of "a message the machinery put there" to "goods".
+
+    Rows of one signature are compared with what the rest of their records say. Goods keep to their category, but
+    for the share MISFILED; a message comes with any category, as often as all listings do. A title that takes up a
+    word of its address slug or of its body speaks of the goods; one that also stands where a seller's name should is
+    no goods' name, by every such row. Slug words on more than a tenth of all rows are the
+    host's own and say nothing. Every row counts by its likelihood, so what a few misfiled rows or one seller's
+    reposts can show doesn't depend on the size of the data: a title of goods on a thousand rows, five of them
+    misfiled, is far below zero. Counted by (signature, category), partially; only slug words above the share, a few
+    by construction, come to the driver.
+    """
     kind = F.lower(F.trim("category"))
     definite = F.when(~kind.isin("other", "misc", "unknown", "none", "various", ""), kind)
-    return (
-        listings.where("title is not null and trim(title) <> ''")
-        .select(signature(F.col("title")).alias("sig"), "listing_id", "vendor", definite.alias("kind"))
-        .groupBy("sig")
-        .agg(F.count_distinct("listing_id").alias("n"), F.count_distinct("vendor").alias("v"), F.count_distinct("kind").alias("k"))
-        .where((F.col("n") >= least) & (F.col("v") >= least) & (F.col("k") >= categories))
-        .select("sig")
-    )
+    rows = listings.select(signature(F.col("title")).alias("sig"), definite.alias("kind"), "title", *[c if c in listings.columns else F.lit(None).cast("string").alias(c) for c in ("file_name", "terms")])
+    total = rows.count()
+    common = rows.select(F.explode(F.array_distinct(_words("file_name"))).alias("w")).groupBy("w").count().where(F.col("count") > 0.1 * total).select("w").collect()
+    slug = F.array_except(_words("file_name"), F.array(*[F.lit(r["w"]) for r in common]).cast("array<string>"))
+    agrees = F.arrays_overlap(_words("title"), F.concat(slug, _words("terms")))
+    counts = cut(rows.groupBy("sig", "kind").agg(F.count("*").alias("n"), F.count_if(agrees).alias("a")))
+    filed = counts.where("kind is not null")
+    share = filed.groupBy("kind").agg(F.sum("n").alias("c"))
+    share = share.crossJoin(F.broadcast(share.agg(F.sum("c").alias("all")))).select("kind", (F.col("c") / F.col("all")).alias("base"))  # one row beside each category
+    named = listings.groupBy(signature(F.col("vendor")).alias("sig")).agg(F.count("*").alias("v")).where("sig is not null")
+    repeated = counts.groupBy("sig").agg(F.sum("n").alias("n")).join(named, "sig", "left").where("sig is not null and (n > 1 or v > 0)").select("sig", F.coalesce("v", F.lit(0)).alias("v"))
+    top = F.max_by(F.struct("n", "base"), F.struct("n", "kind"))
+    told = filed.join(repeated, "sig").join(share, "kind").groupBy("sig").agg(F.sum("n").alias("n"), top.alias("top"), (F.sum("a") - F.max("v")).alias("a"))
+    at_top = F.col("top.n") * F.log(F.col("top.base") / (1 - MISFILED + MISFILED * F.col("top.base")))
+    elsewhere = (F.col("n") - F.col("top.n")) * -math.log(MISFILED)
+    return told.select("sig", (at_top + elsewhere + F.col("a") * math.log(MISFILED)).alias("llr")).where((F.col("llr") >= RESIDUE) | (F.col("llr") <= RESIDUE - PHRASE))
 
 
 def loose_titles(listings: DataFrame, least: int = 5, bound: float = 0.8) -> DataFrame:
@@ -90,22 +126,27 @@ def loose_titles(listings: DataFrame, least: int = 5, bound: float = 0.8) -> Dat
 def flags(listings: DataFrame) -> DataFrame:
     """listings plus bad_title, bad_vendor, bad_price: which field holds residue.
 
-    Detectors read each field; whether a single bracket is a slot, and whether a title's words say anything, is
-    told from evidence over all rows (loose_titles, empty_phrases), compared with the rest of the record. Null
-    fields hold no residue; prices left open by the seller aren't cases. Repeated rows are judged alike. Extra
-    columns stay as they are.
+    A title is residue if it bears a mark (marked), if its single bracket goes with no product (loose_titles), or by
+    the log odds of its phrases (phrased) and of the evidence of all rows together (title_evidence), whose message
+    may be in any language. A vendor or price text that repeats a title told from the evidence is residue too, else
+    marks and phrases tell. Null and blank fields hold none; prices left open by the seller aren't cases. Repeated rows are judged
+    alike. Extra columns stay as they are; tables without file_name or terms are judged by the rest.
     """
     loose = loose_titles(listings).select(F.col("title_hash").alias("_title"), F.lit(True).alias("_loose"))
-    empty = empty_phrases(listings).select(F.col("sig").alias("_sig"), F.lit(True).alias("_says_nothing"))
-    hashed = listings.withColumns({"_sig": signature(F.col("title")), "_title": F.xxhash64("title")})
-    seen = hashed.join(empty, "_sig", "left").join(loose, "_title", "left")
-    no = F.lit(False)
-    title = detected(F.col("title")) | (F.col("title").isNotNull() & (F.coalesce("_says_nothing", no) | F.coalesce("_loose", no)))
+    evidence = cut(title_evidence(listings))
+    said = evidence.where(F.col("llr") >= RESIDUE).select("sig")
+    seen = listings.withColumns({"_sig": signature(F.col("title")), "_vendor": signature(F.col("vendor")), "_price": signature(F.col("price_text")), "_title": F.xxhash64("title")})
+    seen = seen.join(evidence.select(F.col("sig").alias("_sig"), F.col("llr").alias("_llr")), "_sig", "left").join(loose, "_title", "left")
+    for c in ("vendor", "price"):
+        seen = seen.join(said.select(F.col("sig").alias(f"_{c}"), F.lit(True).alias(f"_{c}_said")), f"_{c}", "left")
+    none = F.lit(False)
+    odds = F.when(phrased(F.col("title")), PHRASE).otherwise(0.0) + F.coalesce("_llr", F.lit(0.0))
+    empty = lambda c: F.coalesce(F.col(c).rlike(EMPTY_TEXT), none)
     return (
-        seen.withColumn("bad_title", title)
-        .withColumn("bad_vendor", detected(F.col("vendor")))
-        .withColumn("bad_price", detected(F.col("price_text"), price=True))
-        .drop("_sig", "_title", "_says_nothing", "_loose")
+        seen.withColumn("bad_title", marked(F.col("title")) | empty("title") | F.coalesce("_loose", none) | (F.col("title").isNotNull() & (odds >= RESIDUE)))
+        .withColumn("bad_vendor", marked(F.col("vendor")) | empty("vendor") | phrased(F.col("vendor")) | F.coalesce("_vendor_said", none))
+        .withColumn("bad_price", marked(F.col("price_text")) | phrased(F.col("price_text")) | F.coalesce(F.col("price_text").rlike(PRICE_NOTICE), none) | F.coalesce("_price_said", none))
+        .drop("_sig", "_vendor", "_price", "_title", "_llr", "_loose", "_vendor_said", "_price_said")
     )
 
 
