@@ -41,14 +41,14 @@ GRAPHS = {
 
 
 @pytest.mark.parametrize("name", GRAPHS)
-@pytest.mark.parametrize("core", [0, 50])
-def test_group_pairs(spark, name, core):
+@pytest.mark.parametrize("worthwhile", [0.0, 0.6])
+def test_group_pairs(spark, name, worthwhile):
     names = {i: f"h{R.randrange(10**9)}_{i}" for i in range(720)}
     pairs = [(names[a], names[b]) for a, b in GRAPHS[name]]
     pairs += [(b, a) for a, b in pairs[:20]] + pairs[:20] + [(None, names[1]), (names[2], None), (names[3], names[3])]
     df = spark.createDataFrame(pairs, "a string, b string")
     v = spark.createDataFrame([(n,) for n in names.values()] + [(None,)], "handle string")
-    got = {r.handle: r.group_handle for r in pair_groups.group_pairs(df, v, core_edges=core).collect()}
+    got = {r.handle: r.group_handle for r in pair_groups.group_pairs(df, v, worthwhile=worthwhile).collect()}
     want = least_labels([(a, b) for a, b in pairs if a and b], names.values())
     assert got == want
 
@@ -147,3 +147,10 @@ def test_days_combine(spark, data):
     told = quantiles.percentiles(quantiles.merge_sketches(united, ["category"], parts=100, fan_in=7), ["category"], [0.05, 0.5, 0.95], 0.005).collect()
     v = np.array([r.p for r in rows.where("price_btc_low is not null and not isnan(price_btc_low)").select(F.col("price_btc_low").alias("p")).collect()])
     check_quantiles(v, told, 0.005)
+
+
+def test_ids_that_collide_are_drawn_anew(spark, monkeypatch):
+    hashed = pair_groups._number
+    monkeypatch.setattr(pair_groups, "_number", lambda c, seed: F.lit(7).cast("bigint") if seed == 0 else hashed(c, seed))
+    df = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "a string, b string, weight double")
+    assert {r.handle: r.group_handle for r in pair_groups.handle_groups(df).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c"}
