@@ -123,31 +123,33 @@ def loose_titles(listings: DataFrame, least: int = 5, bound: float = 0.8) -> Dat
     return words.join(loose, "slot", "left_semi").select("title_hash").distinct()
 
 
-def flags(listings: DataFrame) -> DataFrame:
-    """listings plus bad_title, bad_vendor, bad_price: which field holds residue.
+def flags(listings: DataFrame, fields: tuple[str, ...] = ("title", "vendor", "price")) -> DataFrame:
+    """listings plus bad_title, bad_vendor, bad_price, or those asked for: which field holds residue.
 
     A title is residue if it bears a mark (marked), if its single bracket goes with no product (loose_titles), or by
     the log odds of its phrases (phrased) and of the evidence of all rows together (title_evidence), whose message
     may be in any language. A vendor or price text that repeats a title told from the evidence is residue too, else
-    marks and phrases tell. Null and blank fields hold none; prices left open by the seller aren't cases. Repeated rows are judged
-    alike. Extra columns stay as they are; tables without file_name or terms are judged by the rest.
+    marks and phrases tell. Null and blank fields hold none; prices left open by the seller aren't cases. Repeated
+    rows are judged alike. Extra columns stay as they are; tables without file_name or terms are judged by the rest.
     """
-    loose = loose_titles(listings).select(F.col("title_hash").alias("_title"), F.lit(True).alias("_loose"))
     evidence = cut(title_evidence(listings))
     said = evidence.where(F.col("llr") >= RESIDUE).select("sig")
-    seen = listings.withColumns({"_sig": signature(F.col("title")), "_vendor": signature(F.col("vendor")), "_price": signature(F.col("price_text")), "_title": F.xxhash64("title")})
-    seen = seen.join(evidence.select(F.col("sig").alias("_sig"), F.col("llr").alias("_llr")), "_sig", "left").join(loose, "_title", "left")
-    for c in ("vendor", "price"):
-        seen = seen.join(said.select(F.col("sig").alias(f"_{c}"), F.lit(True).alias(f"_{c}_said")), f"_{c}", "left")
     none = F.lit(False)
-    odds = F.when(phrased(F.col("title")), PHRASE).otherwise(0.0) + F.coalesce("_llr", F.lit(0.0))
     empty = lambda c: F.coalesce(F.col(c).rlike(EMPTY_TEXT), none)
-    return (
-        seen.withColumn("bad_title", marked(F.col("title")) | empty("title") | F.coalesce("_loose", none) | (F.col("title").isNotNull() & (odds >= RESIDUE)))
-        .withColumn("bad_vendor", marked(F.col("vendor")) | empty("vendor") | phrased(F.col("vendor")) | F.coalesce("_vendor_said", none))
-        .withColumn("bad_price", marked(F.col("price_text")) | phrased(F.col("price_text")) | F.coalesce(F.col("price_text").rlike(PRICE_NOTICE), none) | F.coalesce("_price_said", none))
-        .drop("_sig", "_vendor", "_price", "_title", "_llr", "_loose", "_vendor_said", "_price_said")
-    )
+    out = listings
+    if "title" in fields:
+        loose = loose_titles(listings).select(F.col("title_hash").alias("_title"), F.lit(True).alias("_loose"))
+        out = out.withColumns({"_sig": signature(F.col("title")), "_title": F.xxhash64("title")})
+        out = out.join(evidence.select(F.col("sig").alias("_sig"), F.col("llr").alias("_llr")), "_sig", "left").join(loose, "_title", "left")
+        odds = F.when(phrased(F.col("title")), PHRASE).otherwise(0.0) + F.coalesce("_llr", F.lit(0.0))
+        out = out.withColumn("bad_title", marked(F.col("title")) | empty("title") | F.coalesce("_loose", none) | (F.col("title").isNotNull() & (odds >= RESIDUE)))
+        out = out.drop("_sig", "_title", "_llr", "_loose")
+    for field, column in (("vendor", "vendor"), ("price", "price_text")):
+        if field in fields:
+            out = out.withColumn("_sig", signature(F.col(column))).join(said.select(F.col("sig").alias("_sig"), F.lit(True).alias("_said")), "_sig", "left")
+            rest = empty(column) if field == "vendor" else F.coalesce(F.col(column).rlike(PRICE_NOTICE), none)
+            out = out.withColumn(f"bad_{field}", marked(F.col(column)) | phrased(F.col(column)) | rest | F.coalesce("_said", none)).drop("_sig", "_said")
+    return out
 
 
 def residue(listings: DataFrame) -> DataFrame:
