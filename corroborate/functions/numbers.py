@@ -80,9 +80,14 @@ def _number(text: str, single_is_decimal: bool) -> Decimal:
     return Decimal(re.sub(r"[.,]", "", s))
 
 
-def sums_of_money(text: str | None, least_bare: int = 10_000) -> list[tuple[str, Decimal]]:
+#: What comes right before a bare number that is a sum.
+_OFFERED = re.compile(r"\b(?:pay|pays|paid|paying|offer|offers|offered|demand|demands|price is|sum of|amount of|wire|wired|transfer|transferred)\s+(?:you\s+|us\s+)?$", re.IGNORECASE)
+
+
+def sums_of_money(text: str | None, least_bare: int = 10_000, least_offered: int = 1_000) -> list[tuple[str, Decimal]]:
     """(unit, amount) of the sums of money a text states, in figures or words. Counts of things are none, nor are
-    bare numbers under least_bare, with neither currency nor scale."""
+    bare numbers, with neither currency nor scale, under least_bare, or under least_offered right after a word of
+    paying or asking."""
     found = []
     if not text:
         return found
@@ -92,7 +97,7 @@ def sums_of_money(text: str | None, least_bare: int = 10_000) -> list[tuple[str,
         unit = CURRENCIES.get((m["left"] or m["right"] or "").lower())
         factor = SCALES[m["scale"].lower()] if m["scale"] else 1
         amount = _number(m["num"], unit in ("btc", "xmr") or factor >= 1_000_000) * factor
-        if 0 < amount < 10**20 and (unit or m["scale"] or amount >= least_bare):
+        if 0 < amount < 10**20 and (unit or m["scale"] or amount >= least_bare or (amount >= least_offered and _OFFERED.search(text, 0, m.start()))):
             found.append((unit or "usd", amount))
     for m in _MONEY_WORDS.finditer(text):
         n = Decimal(0)

@@ -123,6 +123,51 @@ def test_source_graph(spark):
     assert found["b"] == (1000.0, 1) and found["c"][0] == pytest.approx(1e6) and found["c"][1] == 2
 
 
+def test_offsets_are_found_and_carried(spark):
+    rows = [(f"e{i}", s, f(50.0 + 7 * i)) for i in range(40) for s, f in (("anchor", lambda v: v), ("b", lambda v: 1.8 * v + 32), ("c", lambda v: (1.8 * v + 32) * 10)) if not (s == "c" and i < 12 or s == "anchor" and i >= 28)]
+    rows += [("e1", "b", 1e6), ("e2", "b", 3.0)]
+    edges = pairwise_scales(spark.createDataFrame(rows, "entity string, source string, value double")).where("a <> 'anchor' or b <> 'c'")
+    found = {r.source: r for r in propagate(edges, spark.createDataFrame([("anchor", 1.0)], "source string, factor double")).collect()}
+    assert found["c"].hops == 2
+    for v in (80.0, 300.0):
+        assert found["b"].factor * (1.8 * v + 32) + found["b"].shift == pytest.approx(v, rel=1e-6)
+        assert found["c"].factor * 10 * (1.8 * v + 32) + found["c"].shift == pytest.approx(v, rel=1e-6)
+
+
+def test_units_nobody_declares(spark):
+    """No declared unit at all: feeds told from their messages, sites over several hops and with an offset."""
+    day = lambda m: dt.datetime(2024, m, 5)
+    feeds = {"k": lambda u, m: u // 1000, "cents": lambda u, m: u * 100, "coin": lambda u, m: round(u / (40000 * m)), "usd": lambda u, m: u}
+    messages, want = [], set()
+    for g, f in feeds.items():
+        for i in range(60):
+            usd, m = 400_000 * (i + 1), 1 + i % 2
+            messages.append((len(messages), g, f"we want ${usd}", [f(usd, m) if i % 9 else 777], day(m)))
+            want.add(("messages", len(messages) - 1, usd))
+        messages.append((len(messages), g, None, [f(8_000_000, 2)], day(2)))
+        want.add(("messages", len(messages) - 1, {"coin": 8_000_000}.get(g, 8_000_000)))
+    victims = []
+    for i in range(40):
+        gb = 50 + 7 * i
+        if i < 25:
+            victims += [(i, None, f"{gb} GB", "near"), (i, gb * 1e6 / 1e6, None, "near")]  # in GB, with and without unit
+        if i >= 15:
+            victims.append((i, gb * 1000.0, None, "far"))  # in MB, linked through near only
+            victims.append((i, float(gb), None, "near"))
+        victims.append((i, 2.0 * gb * 1000 + 5000, None, "odd"))  # twice as much and an offset, linked through far
+    rows = [(n, *v) for n, v in enumerate(victims)]
+    want |= {("victims", n, (50 + 7 * v[0]) * 1000) for n, v in enumerate(victims)}
+    m = spark.createDataFrame(messages, "msg_id bigint, group_name string, content string, amounts array<bigint>, sent_at timestamp")
+    v = spark.createDataFrame([(a, b, c, d, e) for a, b, c, d, e in rows], "rec_id bigint, victim_id int, claimed_gb double, claim_text string, site string")
+    rates = spark.createDataFrame([("btc", "2024-01", 40000.0), ("btc", "2024-02", 80000.0)], "unit string, rate_month string, usd_per_unit double")
+    none = spark.createDataFrame([], "origin_name string, quantity string, unit string")
+    assert {tuple(r) for r in quantities(m, v, rates, none).collect()} == want
+
+
+def test_small_sums_that_are_offered():
+    assert sums_of_money("We can pay 9500 today") == [("usd", Decimal(9500))] and sums_of_money("We offer 4 files and 9500 rows") == []
+
+
 def test_snapshot_diff_cases(spark):
     t0 = dt.datetime(2024, 1, 1)
     day = dt.timedelta(days=1)
