@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,48 @@ def turns_after(turns: DataFrame, key: list[str], order: str, mark: str, least:
     return turns.join(first, key).where(F.col(order) > F.col("at")).groupBy(*key, "at").agg(F.count("*").alias("after")).where(F.col("after") >= least)
 
 
+def tops(parts: list[DataFrame], most: dict[str, int]) -> DataFrame:
+    """(kind, name, n, place): of each kind of parts(kind, name) the names with most rows, as many as most says; ties
+    by name. Counted partially; a place is only asked for within the few rows a kind keeps (a top-k per kind)."""
+    out = []
+    for part, (kind, k) in zip(parts, most.items()):
+        counts = part.toDF("kind", "name").where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k)
+        out.append(counts.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def thinned(points: DataFrame, order: str, most: int) -> DataFrame:
+    """Every k-th of points, so that at most `most` are left, and the last; points is one row per period."""
+    w = Window.orderBy(order)
+    n = points.withColumns({"_i": F.row_number().over(w) - 1, "_k": F.count("*").over(Window.partitionBy())})
+    step = F.greatest(F.lit(1), F.ceil(F.col("_k") / most))
+    return n.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_k") - 1)).drop("_i", "_k")
+
+
+def lagged_correlations(counts: DataFrame, series: str, bucket: str, n: str, lags: int = 8) -> DataFrame:
+    """(a, b, lag, pairs, r) of every two series of counts(series, bucket, n), a < b: Pearson's correlation of a at
+    bucket i and b at i + lag over the buckets in which any series has a count; missing counts are zero. r is 0
+    without variance; lags with under 4 pairs are left out.
+
+    One plan for all series: the sums of a series depend on the lag alone, so they are made once, and only buckets
+    in which both have counts meet. From sums of integers, so exact and independent of order.
+    """
+    each = F.explode(F.sequence(F.lit(-lags), F.lit(lags)))
+    rows = counts.select(F.col(series).alias("s"), F.col(bucket).alias("t"), F.col(n).cast("bigint").alias("n"))
+    spine = rows.select("t").distinct()
+    ends = spine.select(F.col("t").alias("at"))
+    moved = spine.select("t", each.alias("lag")).withColumn("at", F.col("t") + F.col("lag")).join(ends, "at")
+    pairs = moved.groupBy("lag").agg(F.count("*").alias("pairs")).where("pairs >= 4")
+    sums = lambda at, x: moved.select(F.col(at).alias("_t"), "lag").join(rows.withColumnRenamed("t", "_t"), "_t").groupBy("lag", F.col("s").alias(x)).agg(F.sum("n").alias(f"s{x}"), F.sum(F.col("n") * F.col("n")).alias(f"q{x}"))
+    a, b = rows.select(F.col("s").alias("a"), "t", F.col("n").alias("x")), rows.select(F.col("s").alias("b"), F.col("t").alias("at"), F.col("n").alias("y"))
+    met = a.withColumn("lag", each).withColumn("at", F.col("t") + F.col("lag")).join(b, "at").where("a < b").groupBy("a", "b", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    all_ = sums("t", "a").join(sums("at", "b"), "lag").where("a < b").join(pairs, "lag").join(met, ["a", "b", "lag"], "left")
+    k = F.col("pairs")
+    vx, vy = k * F.col("qa") - F.col("sa") * F.col("sa"), k * F.col("qb") - F.col("sb") * F.col("sb")
+    r = F.when((vx > 0) & (vy > 0), (k * F.coalesce("xy", F.lit(0)) - F.col("sa") * F.col("sb")) / (F.sqrt(vx.cast("double")) * F.sqrt(vy.cast("double")))).otherwise(0.0)
+    return all_.select("a", "b", "lag", "pairs", r.alias("r"))
+
+
 def lagged_correlation(a: DataFrame, b: DataFrame, bucket: str, n: str, buckets: DataFrame, lags: int = 8) -> DataFrame:
     """(lag, pairs, r): Pearson's correlation of series a at bucket i and b at i + lag, over the buckets where both
     are in buckets(bucket); missing counts are zero. r is 0 without variance; lags with under 4 pairs are left out.

@@ -41,3 +41,18 @@ def greedy_route(neighbours: DataFrame, starts: DataFrame, target: float, max_ho
             break
         at = at.drop("moved")
     return at.select("start", "node", "hops")
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows plus n, from 1 in order of a column without ties. Sorted by ranges; each partition is numbered by itself
+    from the counts of those before it, so no task sees all rows. Only a count per partition comes to the driver."""
+    from corroborate.session import cut
+
+    parts = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
+    total, before = 0, []
+    for r in parts.groupBy("_p").agg(F.count("*").alias("k")).orderBy("_p").collect():
+        before.append((r["_p"], total))
+        total += r["k"]
+    start = F.create_map(*[F.lit(x) for kv in before for x in kv]) if before else F.create_map().cast("map<int,int>")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return parts.withColumn("n", (inside + F.coalesce(F.try_element_at(start, F.col("_p")), F.lit(0))).cast("bigint")).drop("_p")

@@ -232,17 +232,7 @@ def hourly_rhythm(spark: SparkSession, d: str) -> DataFrame:
 def timing_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Every two event types' hourly counts, each shifted by up to 8 hours, and the lag at which they agree most."""
     hours = table(spark, d, "events").where("event_type is not null and ts is not null").groupBy("event_type", F.floor(F.unix_timestamp("ts") / 3600).alias("bucket")).agg(F.count("*").alias("n"))
-    hours = hours.cache()
-    spine = hours.select("bucket").distinct()
-    kinds = sorted(r[0] for r in hours.select("event_type").distinct().collect())  # names of event types, a fixed few
-    parts = []
-    for i, a in enumerate(kinds):
-        for b in kinds[i + 1 :]:
-            r = O.lagged_correlation(hours.where(F.col("event_type") == a), hours.where(F.col("event_type") == b), "bucket", "n", spine)
-            parts.append(r.withColumns({"a": F.lit(a), "b": F.lit(b)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = O.lagged_correlations(hours, "event_type", "bucket", "n")
     best = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc(F.round("r", 9)), "lag"))
     return out.withColumn("n", best).select("a", "b", "lag", "pairs", F.round("r", 6).alias("r"), (F.col("n") == 1).alias("best"))
 

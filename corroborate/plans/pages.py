@@ -94,7 +94,9 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_roles(spark: SparkSession, d: str) -> DataFrame:
-    """Every near-duplicate class of several documents: its canonical page and the others' roles."""
+    """Every near-duplicate class of several documents: its canonical page and the others' roles, by their keys, the
+    likeness to the canonical page and a title they share with it. Words are compared once per pair of page and
+    canonical page, and only in classes of several."""
     t = F.col("text")
     info = _docs(spark, d).select(F.col("doc_id").alias("id"), A.pgp_key(t).alias("pgp"), A.btc_wallet(t).alias("btc"), (F.col("source") == "listing_page").alias("l")).withColumn("listed", F.coalesce("l", F.lit(False))).drop("l")
     classes = near_duplicates(spark, d).where("n_links > 0").select(F.col("doc_id").alias("id"), "class_id")
@@ -103,7 +105,12 @@ def duplicate_roles(spark: SparkSession, d: str) -> DataFrame:
     both = members.join(top, "class_id")
     both_pay = F.col("btc").isNotNull() & F.col("btc0").isNotNull()
     keyless = ~F.col("keyed")
-    rule = P.intent(P.same_keys(F.col("pgp"), F.col("btc"), F.col("pgp0"), F.col("btc0")), both_pay, ~F.col("btc").eqNullSafe(F.col("btc0")), keyless, F.lit(T), F.lit(False), F.col("listed"))
+    rule = P.intent(P.same_keys(F.col("pgp"), F.col("btc"), F.col("pgp0"), F.col("btc0")), both_pay, ~F.col("btc").eqNullSafe(F.col("btc0")), keyless, F.col("similarity"), F.col("asset"), F.col("listed"))
+    title = F.regexp_extract("text", "<title>([^<]*)</title>", 1)
+    shown = cut(_docs(spark, d).select(F.col("doc_id").alias("id"), X.shingles(t, K).alias("w"), title.alias("t")).join(members.select("id"), "id", "left_semi"))
+    own = both.select("id", "canonical").where("id <> canonical").join(shown, "id").join(shown.select(F.col("id").alias("canonical"), F.col("w").alias("w0"), F.col("t").alias("t0")), "canonical")
+    told = own.select("id", X.jaccard(F.col("w"), F.col("w0")).alias("similarity"), ((F.col("t") != "") & (F.col("t") == F.col("t0"))).alias("asset"))
+    both = both.join(told, "id", "left")
     role = F.when(F.col("id") == F.col("canonical"), F.struct(F.lit("canonical").alias("role"), F.lit("").alias("reason"))).otherwise(rule)
     return both.withColumn("r", role).select(F.col("id").alias("doc_id"), "class_id", "canonical", "r.role", "r.reason")
 
@@ -174,6 +181,9 @@ SELECT DISTINCT least(fa.d, fb.d) AS doc_a, greatest(fa.d, fb.d) AS doc_b, round
     "duplicate_roles": _PAIRS + f""", i AS (SELECT doc_id, {_PGP} AS pgp, {_BTC} AS btc, coalesce(source = 'listing_page', false) AS listed FROM s),
 m AS (SELECT c.doc_id, c.class_id, i.* EXCLUDE (doc_id) FROM classes c JOIN links l ON c.doc_id = l.x JOIN i ON c.doc_id = i.doc_id),
 top AS (SELECT class_id, doc_id AS canonical, pgp AS pgp0, btc AS btc0 FROM m QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY CASE WHEN listed THEN 0 WHEN pgp IS NOT NULL OR btc IS NOT NULL THEN 1 ELSE 2 END, doc_id) = 1),
-r AS (SELECT m.doc_id, m.class_id, canonical, CASE WHEN m.doc_id = canonical THEN 'canonical|' WHEN btc = btc0 AND pgp IS NOT DISTINCT FROM pgp0 THEN 'mirror|shared_payment' WHEN btc <> btc0 THEN 'clone|payment_swap' ELSE 'mirror|benign_copy' END AS r FROM m JOIN top USING (class_id))
+sims AS (SELECT m.doc_id, len(list_intersect(a.sh, b.sh)) / greatest(1, len(list_distinct(list_concat(a.sh, b.sh)))) AS sim, len(a.sh) + len(b.sh) AS n,
+  regexp_extract(a.text, '<title>([^<]*)</title>', 1) AS t, regexp_extract(b.text, '<title>([^<]*)</title>', 1) AS t0 FROM m JOIN top USING (class_id) JOIN s a ON a.doc_id = m.doc_id JOIN s b ON b.doc_id = canonical WHERE m.doc_id <> canonical),
+r AS (SELECT m.doc_id, m.class_id, canonical, CASE WHEN m.doc_id = canonical THEN 'canonical|' WHEN btc = btc0 AND pgp IS NOT DISTINCT FROM pgp0 THEN 'mirror|shared_payment' WHEN btc <> btc0 THEN 'clone|payment_swap'
+  WHEN pgp IS NULL AND btc IS NULL AND (n = 0 OR sim >= 0.5) THEN 'mirror|benign_copy' WHEN pgp IS NULL AND btc IS NULL AND t <> '' AND t = t0 AND NOT listed THEN 'clone|keyless_copy' ELSE 'mirror|benign_copy' END AS r FROM m JOIN top USING (class_id) LEFT JOIN sims USING (doc_id))
 SELECT doc_id, class_id, canonical, split_part(r, '|', 1) AS role, split_part(r, '|', 2) AS reason FROM r""",
 }
