@@ -69,3 +69,55 @@ def overclaims(truth: DataFrame, found: DataFrame, levels: list[str]) -> DataFra
     rank = lambda c: F.coalesce(F.try_element_at(order, F.col(c)), F.lit(0))
     both = truth.select("id", F.col("level").alias("t")).join(found.select("id", F.col("level").alias("f")), "id", "left")
     return both.agg(F.count("*").alias("claims"), F.count("f").alias("covered"), F.count_if(F.col("f") == F.col("t")).alias("calibrated"), F.count_if(F.col("f").isNotNull() & (rank("f") > rank("t"))).alias("overclaimed"))
+
+
+def crawl_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of a crawl found(host, role, same_as) against truth(host, role, original): services found, mirrors told
+    as such of the right host, clones told as such, and clones believed to be services. Nothing to find counts 0."""
+    t = truth.select("host", F.col("role").alias("t"), "original")
+    both = t.join(found.select("host", F.col("role").alias("f"), "same_as"), "host", "full_outer")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    n = both.agg(
+        count(F.col("t") == "service").alias("services"),
+        count((F.col("t") == "service") & F.col("f").isNotNull()).alias("reached"),
+        F.count("f").alias("found"),
+        count(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("real"),
+        count(F.col("t") == "mirror").alias("mirrors"),
+        count((F.col("t") == "mirror") & (F.col("f") == "mirror") & (F.col("same_as") == F.col("original"))).alias("mirrors_collapsed"),
+        count(F.col("t") == "clone").alias("clones"),
+        count((F.col("t") == "clone") & (F.col("f") == "clone")).alias("clones_caught"),
+        count((F.col("t") == "clone") & (F.col("f") == "service")).alias("clones_believed"),
+    )
+    return n.withColumns({"recall": ratio(F.col("reached"), F.col("services"), 0.0), "precision": ratio(F.col("real"), F.col("found"), 0.0)})
+
+
+def calibration(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (groups, recovered, calibrated) of found(id, group, confidence) against truth(id, group, confidence):
+    of the true groups of several ids, how many came out with exactly the same ids, and with the true confidence.
+    Groups are compared by size and by the size of their common part, never brought together."""
+    t = truth.groupBy("group").agg(F.count("*").alias("n"), F.max("confidence").alias("want")).where("n > 1")
+    f = found.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("m"), F.max("confidence").alias("got"))
+    common = truth.select("id", "group").join(found.select("id", F.col("group").alias("g")), "id").groupBy("group", "g").agg(F.count("*").alias("c"))
+    exact = common.join(t, "group").join(f, "g").where("c = n and c = m")
+    told = exact.agg(F.count("*").alias("recovered"), F.count_if(F.col("want") == F.col("got")).alias("calibrated"))
+    return t.agg(F.count("*").alias("groups")).crossJoin(told)  # one row each
+
+
+def at_level(truth: DataFrame, found: DataFrame, key: list[str], level: str) -> DataFrame:
+    """One row (n, right): of the true rows of a level (key, severity), how many were found at it."""
+    t = truth.where(F.col("severity") == level).select(*key).distinct()
+    right = t.join(found.where(F.col("severity") == level).select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("right"))
+    return t.agg(F.count("*").alias("n")).crossJoin(right)  # one row each
+
+
+def label_recall(truth: DataFrame, found: DataFrame, key: str, labels: str) -> DataFrame:
+    """One row (n, right, recall): of the labels true records carry in an array, how many the found ones carry too."""
+    long = lambda df: df.select(F.col(key).alias("key"), F.explode(labels).alias("label")).distinct()
+    t = long(truth)
+    right = t.join(long(found), ["key", "label"], "left_semi").agg(F.count("*").alias("right"))
+    return t.agg(F.count("*").alias("n")).crossJoin(right).select("n", "right", ratio(F.col("right"), F.col("n")).alias("recall"))
+
+
+def provenance(claims: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """One row (claims, sourced): claims that name what they rest on."""
+    return claims.agg(F.count("*").alias("claims"), F.count_if(F.size(F.filter(evidence, lambda e: e != "")) > 0).alias("sourced"))

@@ -27,33 +27,49 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "6 hou
     return agg.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the stream, as a batch: for tests and backfills. Kept in the memory sink, so for
-    aggregates."""
-    spark, name = stream.sparkSession, "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").start()
+def run_once(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All windows that are final now, through the stream, as a batch: for tests and backfills.
+
+    Append mode into a Parquet sink: a window is written once, when the watermark has passed its end, and its state is
+    dropped then; nothing is gathered on the driver. Called again with the same folder (of sink and checkpoint), it
+    goes on where it stopped."""
+    spark = stream.sparkSession
+    folder = folder or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/rows")
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def new_alerts(snapshots: DataFrame, out: str, watch: DataFrame, checkpoint: str):
-    """Starts a query that, whenever snapshot rows arrive, adds the alerts of the snapshots so far to `out`, each once.
-    A batch recomputes from the rows kept beside `out` and appends what isn't there yet, so a repeated batch after
-    a failure adds nothing twice."""
+    """Starts a query that, whenever snapshot rows arrive, adds the alerts they bring to `out`/alerts.
+
+    A batch writes its rows to `out`/rows/batch=<id> and its alerts to `out`/alerts/batch=<id>, replacing what a failed
+    attempt at the same batch left there, so that nothing is there twice. Alerts are made of the snapshots that the
+    batch brings or completes, and of the one delivered before the first of them (by taken_at), not of all so far.
+    """
     from corroborate.operators.changefeed import alerts
 
     key = ["t_from", "t_to", "type", "name", "surface"]
 
-    def add(batch: DataFrame, _: int) -> None:
+    def kept(spark: SparkSession, part: str, batch: int, schema) -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{part}")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.createDataFrame([], schema)
+        rows = spark.read.parquet(f"{out}/{part}")
+        return rows.where(F.col("batch") < batch).drop("batch")
+
+    def add(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.dropDuplicates(["t", "section", "name", "site", "loaded_at"]).write.mode("append").parquet(f"{out}/rows")
-        found = alerts(spark.read.parquet(f"{out}/rows"), watch)
-        try:
-            known = spark.read.parquet(f"{out}/alerts").select(*key)
-            found = found.join(known, key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        found.write.mode("append").parquet(f"{out}/alerts")
+        rows = batch.dropDuplicates(["t", "section", "name", "site", "loaded_at"])
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+        rows = spark.read.parquet(f"{out}/rows/batch={n}")
+        past = kept(spark, "rows", n, batch.schema)
+        first = rows.agg(F.min("taken_at").alias("first"))
+        # the last snapshot before those that have new rows, and all from there on
+        start = past.join(F.broadcast(first), F.col("taken_at") < F.col("first")).agg(F.max("taken_at").alias("start"))
+        since = past.join(F.broadcast(start), F.col("taken_at") >= F.coalesce("start", F.lit("1900-01-01").cast("timestamp"))).drop("start")
+        found = alerts(since.unionByName(rows), watch)
+        known = kept(spark, "alerts", n, found.schema).select(*key)
+        found.join(known, key, "left_anti").write.mode("overwrite").parquet(f"{out}/alerts/batch={n}")
 
     return snapshots.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

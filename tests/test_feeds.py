@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from corroborate.operators import changefeed as C
 from corroborate.operators import feeds as O
 from corroborate.sources import files
-from corroborate.sources.store import Store, refresh
+from corroborate.sources.store import Store, current, refresh
 from corroborate.sources.tables import table
 from corroborate.streaming import windows
 
@@ -143,7 +144,36 @@ def test_store(spark, tmp_path):
 def test_refresh(spark, tmp_path):
     p = str(tmp_path / "t")
     assert refresh(spark.range(3), p) and refresh(spark.range(5), p) and not refresh(spark.range(0), p)
-    assert spark.read.parquet(p).count() == 5
+    assert current(spark, p).count() == 5
+    assert refresh(spark.range(7), p) and refresh(spark.range(8), p) and current(spark, p).count() == 8
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("_done-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        current(spark, str(tmp_path / "none"))
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = lambda *at: spark.createDataFrame([(dt.datetime(2024, 1, 1, h), "a", 1.0) for h in at], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: windows.windowed_counts(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(src))
+    rows(1, 2, 7)
+    windows.run_once(stream(), out)
+    rows(20)
+    windows.run_once(stream(), out)
+    rows(3, 21)  # 3 o'clock is hours behind the watermark: its window was written and is not touched again
+    got = windows.run_once(stream(), out).orderBy("start").collect()
+    assert [(r.start.hour, r.n) for r in got] == [(0, 2), (6, 1)]
+
+
+def test_lagged_correlations(spark):
+    r = random.Random(4)
+    series = {k: [r.randrange(6) for _ in range(60)] for k in "xyz"}
+    rows = [(k, t, n) for k, v in series.items() for t, n in enumerate(v) if n and t % 7]
+    df = spark.createDataFrame(rows, "s string, t bigint, n bigint")
+    got = {(q.a, q.b, q.lag): (q.pairs, round(q.r, 9)) for q in O.lagged_correlations(df, "s", "t", "n").collect()}
+    spine = df.select("t").distinct()
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        one = O.lagged_correlation(df.where(F.col("s") == a), df.where(F.col("s") == b), "t", "n", spine)
+        assert {(a, b, q.lag): (q.pairs, round(q.r, 9)) for q in one.collect()} == {k: v for k, v in got.items() if k[:2] == (a, b)}
 
 
 def test_streamed_alerts(spark, tmp_path):
