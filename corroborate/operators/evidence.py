@@ -30,6 +30,14 @@ def shared_items(profiles: DataFrame, items: str, signal: str, weight: float, id
     return a.join(b, "item").where("a < b").select("a", "b").distinct().withColumns({"signal": F.lit(signal), "weight": F.lit(float(weight))})
 
 
+def item_stars(profiles: DataFrame, items: str, signal: str, weight: float, id: str = "handle") -> DataFrame:
+    """(a, b, signal, weight): each profile that has an item of an array column beside the least one that has it, once:
+    as many rows as holders, whatever an item is shared by, and the same components as all pairs would give."""
+    each = profiles.select(F.col(id).alias("b"), F.explode(items).alias("item")).where("b is not null and item is not null and item <> ''").distinct()
+    least = each.groupBy("item").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("item", "a")
+    return each.join(least, "item").where("a <> b").select("a", "b").distinct().withColumns({"signal": F.lit(signal), "weight": F.lit(float(weight))})
+
+
 def identifier_edges(profiles: DataFrame, naive: bool = False) -> DataFrame:
     """Edges of profiles(handle, displayed_keys, signed_keys, wallets). A key that is displayed by both but signed
     with by neither pair is no link: weight 0, a mark of possible framing. naive takes any shared identifier."""

@@ -80,12 +80,22 @@ def linkage_grades(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_scores(full, hard)
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Every name someone goes by: handles, sellers, authors, parties of chats and personas."""
+    by = {"listings": "vendor", "documents": "author", "messages": "party"}
+    out = _handles(spark, d)
+    for t, c in by.items():
+        out = out.unionByName(table(spark, d, t).select(F.col(c).alias("handle")))
+    personas = table(spark, d, "snapshots").where("section = 'personas'").select(F.col("name").alias("handle"))
+    return out.unionByName(personas).where("handle is not null").distinct()
+
+
 def handle_twins(spark: SparkSession, d: str) -> DataFrame:
-    return V.handle_edges(_handles(spark, d)).select("a", "b")
+    return V.handle_edges(_names(spark, d)).select("a", "b")
 
 
 def handle_lookalikes(spark: SparkSession, d: str) -> DataFrame:
-    return V.lookalike_handles(_handles(spark, d)).select("a", "b")
+    return V.lookalike_handles(_names(spark, d)).select("a", "b")
 
 
 def plain_handles(spark: SparkSession, d: str) -> DataFrame:
@@ -93,12 +103,11 @@ def plain_handles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persona_links(spark: SparkSession, d: str) -> DataFrame:
-    """Personas of any snapshot that share a key or a wallet."""
-    s = table(spark, d, "snapshots").where("section = 'personas' and name is not null")
+    """Whatever is named in any snapshot beside the least name with the same key, wallet or operator."""
+    s = table(spark, d, "snapshots").where("name is not null")
     value = lambda k: F.array_compact(F.array(F.when(~C.attr(F.col("attrs"), k).isin("-", "—"), C.attr(F.col("attrs"), k))))
-    none = F.array().cast("array<string>")
-    p = s.select(F.col("name").alias("handle"), value("signed_key").alias("signed_keys"), value("wallet").alias("wallets"), none.alias("displayed_keys"))
-    return V.identifier_edges(p)
+    p = cut(s.select(F.col("name").alias("handle"), *[value(k).alias(k) for k in ("signed_key", "wallet", "operator")]).where("size(signed_key) + size(wallet) + size(operator) > 0").distinct())
+    return V.item_stars(p, "signed_key", "shared_signed_key", 1.0).unionByName(V.item_stars(p, "wallet", "shared_wallet", 1.0)).unionByName(V.item_stars(p, "operator", "shared_operator", 0.8))
 
 
 def source_style(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +201,8 @@ al AS (SELECT t_from, t_to, type, name, origin AS surface, CASE rank WHEN 1 THEN
 _PW = """e0 AS (SELECT least(a, b) AS a, greatest(a, b) AS b, signal, max(CASE WHEN weight > 0 AND NOT isnan(weight) THEN weight ELSE 0 END::DECIMAL(10,4)) AS w FROM edges WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b GROUP BY ALL),
 pw AS (SELECT a, b, sum(w) AS weight, string_agg(signal, ',' ORDER BY signal) AS signals, bool_or(coalesce(signal IN ('shared_signed_key', 'shared_wallet'), false)) AS hard, bool_or(coalesce(signal = 'displayed_only_key', false)) AS displayed FROM e0 GROUP BY a, b)"""
 _HANDLES = "hd AS (SELECT DISTINCT handle FROM (SELECT a AS handle FROM edges UNION ALL SELECT b FROM edges) WHERE handle IS NOT NULL)"
+_NAMES = """hd AS (SELECT DISTINCT handle FROM (SELECT a AS handle FROM edges UNION ALL SELECT b FROM edges UNION ALL SELECT vendor FROM listings UNION ALL SELECT author FROM documents
+  UNION ALL SELECT party FROM messages UNION ALL SELECT name FROM snapshots WHERE section = 'personas') WHERE handle IS NOT NULL)"""
 _CL = (
     "WITH RECURSIVE " + _PW + ", " + _HANDLES + """, s AS (SELECT a AS x, b AS y, hard FROM pw WHERE weight >= 0.8 UNION ALL SELECT b, a, hard FROM pw WHERE weight >= 0.8),
 ra AS (SELECT handle, handle AS o FROM hd UNION SELECT r.handle, s.y FROM ra r JOIN s ON r.o = s.x), rh AS (SELECT handle, handle AS o FROM hd UNION SELECT r.handle, s.y FROM rh r JOIN s ON r.o = s.x WHERE s.hard),
@@ -234,12 +245,12 @@ SELECT count(*) AS claims, count(fo.r) AS covered, count(*) FILTER (fo.r = tr.r)
 SELECT handle, ca.c AS cluster, size, CASE WHEN size = 1 THEN 'single' WHEN parts = 1 THEN 'high' ELSE 'medium' END AS confidence FROM ca JOIN z ON ca.c = z.c JOIN q ON ca.c = q.c""",
     "linkage_grades": _CL + ", bo AS (SELECT ca.c AS g, ch.c AS f FROM ca JOIN ch USING (handle)) " + _SCORES,
     "plain_handles": f"WITH {_HANDLES} SELECT handle, {_PLAIN} AS plain FROM hd",
-    "handle_twins": f"WITH {_HANDLES}, p AS (SELECT handle, {_PLAIN} AS p FROM hd) SELECT a.handle AS a, b.handle AS b FROM p a JOIN p b ON a.p = b.p AND a.handle < b.handle WHERE a.p <> ''",
-    "handle_lookalikes": f"""WITH {_HANDLES}, p AS (SELECT handle, {_PLAIN} AS p FROM hd), x AS (SELECT DISTINCT handle, p, unnest(list_append(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1)), p)) AS k FROM p WHERE p <> '')
+    "handle_twins": f"WITH {_NAMES}, p AS (SELECT handle, {_PLAIN} AS p FROM hd) SELECT a.handle AS a, b.handle AS b FROM p a JOIN p b ON a.p = b.p AND a.handle < b.handle WHERE a.p <> ''",
+    "handle_lookalikes": f"""WITH {_NAMES}, p AS (SELECT handle, {_PLAIN} AS p FROM hd), x AS (SELECT DISTINCT handle, p, unnest(list_append(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1)), p)) AS k FROM p WHERE p <> '')
 SELECT DISTINCT a.handle AS a, b.handle AS b FROM x a JOIN x b ON a.k = b.k AND a.handle < b.handle WHERE levenshtein(a.p, b.p) <= 1""",
-    "persona_links": """WITH p AS (SELECT DISTINCT name, nullif(nullif(attrs['signed_key'], '-'), '—') AS k, nullif(nullif(attrs['wallet'], '-'), '—') AS w FROM snapshots WHERE section = 'personas' AND name IS NOT NULL)
-SELECT DISTINCT a.name AS a, b.name AS b, 'shared_signed_key' AS signal, 1.0::DOUBLE AS weight FROM p a JOIN p b ON a.k = b.k AND a.name < b.name WHERE a.k <> ''
-UNION ALL SELECT DISTINCT a.name, b.name, 'shared_wallet', 1.0::DOUBLE FROM p a JOIN p b ON a.w = b.w AND a.name < b.name WHERE a.w <> ''""",
+    "persona_links": "WITH p AS (SELECT DISTINCT name, unnest(['signed_key', 'wallet', 'operator']) AS k, unnest([attrs['signed_key'], attrs['wallet'], attrs['operator']]) AS v FROM snapshots WHERE name IS NOT NULL),"
+    + """ l AS (SELECT k, v, min(name) AS a FROM p WHERE v NOT IN ('', '-', '—') GROUP BY 1, 2)
+SELECT DISTINCT a, name AS b, 'shared_' || k AS signal, CASE k WHEN 'operator' THEN 0.8 ELSE 1.0 END::DOUBLE AS weight FROM p JOIN l USING (k, v) WHERE a <> name""",
     "source_style": _style(),
     "capture_fields": "WITH lo AS (SELECT * FROM listings WHERE listing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY rec_id) = 1), hi AS (SELECT * FROM listings WHERE listing_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY rec_id DESC) = 1)\n"
     + "\nUNION ALL ".join(f"SELECT '{f}' AS field, count(hi.{f}) AS n, count(*) FILTER (hi.{f} = lo.{f}) AS \"right\", count(*) FILTER (hi.{f} = lo.{f}) / count(hi.{f}) AS recall FROM hi JOIN lo USING (listing_id)" for f in _CAP),

@@ -44,10 +44,12 @@ def exact_mirrors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def masked_clones(spark: SparkSession, d: str) -> DataFrame:
-    """Pages alike but for their keys: the same hash with keys masked, other content."""
-    rows = _docs(spark, d).select("doc_id", A.keymask_hash(F.col("text")).alias("masked"), A.content_hash(F.col("text")).alias("content"))
-    groups = rows.groupBy("masked").agg(F.count_distinct("content").alias("n_contents"), F.count("*").alias("n_pages"), F.min("doc_id").alias("first_doc")).where("n_contents > 1")
-    return groups.select("masked", "n_contents", "n_pages", "first_doc")
+    """Records of the watched world alike but for their keys: the same hash with keys masked, other content."""
+    entries = F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    rows = table(spark, d, "snapshots").where("name is not null and attrs is not null").select("name", F.concat_ws(";", "section", F.array_join(entries, ";")).alias("text"))
+    hashed = rows.select("name", A.keymask_hash(F.col("text")).alias("masked"), A.content_hash(F.col("text")).alias("content"))
+    groups = hashed.groupBy("masked").agg(F.count_distinct("content").alias("n_contents"), F.count("*").alias("n_records"), F.min("name").alias("first_name"))
+    return groups.where("n_contents > 1").select("masked", "n_contents", "n_records", "first_name")
 
 
 def page_structure(spark: SparkSession, d: str) -> DataFrame:
@@ -164,8 +166,9 @@ SELECT pgp, count(*) AS n_authors, string_agg(author, ',' ORDER BY author) AS au
 WITH h AS (SELECT doc_id AS id, {_HASH.format("text")} AS digest FROM documents WHERE text IS NOT NULL)
 SELECT id, digest, min(id) OVER (PARTITION BY digest) AS canonical, count(*) OVER (PARTITION BY digest) AS copies FROM h QUALIFY copies > 1""",
     "masked_clones": f"""
-WITH h AS (SELECT doc_id, {_HASH.format(_MASK)} AS masked, {_HASH.format("text")} AS content FROM documents WHERE text IS NOT NULL)
-SELECT masked, count(DISTINCT content) AS n_contents, count(*) AS n_pages, min(doc_id) AS first_doc FROM h GROUP BY masked HAVING count(DISTINCT content) > 1""",
+WITH r AS (SELECT name, section || ';' || array_to_string(list_sort(list_transform(map_entries(attrs), lambda e: e.key || coalesce('=' || e.value, ''))), ';') AS text FROM snapshots WHERE name IS NOT NULL AND attrs IS NOT NULL),
+h AS (SELECT name, {_HASH.format(_MASK)} AS masked, {_HASH.format("text")} AS content FROM r)
+SELECT masked, count(DISTINCT content) AS n_contents, count(*) AS n_records, min(name) AS first_name FROM h GROUP BY masked HAVING count(DISTINCT content) > 1""",
     "page_structure": "WITH " + _FEATS + """
 SELECT f.doc_id, len(tags) AS n_tags, len(list_distinct(f)) AS n_features, coalesce(hi, 0) AS hi, coalesce(lo, 0) AS lo FROM f LEFT JOIN sim USING (doc_id) WHERE regexp_matches(text, '<[a-zA-Z]')""",
     "structural_twins": "WITH " + _FEATS + """, a AS (SELECT f.doc_id AS id, hi, lo, regexp_extract(text, '<title>([^<]*)</title>', 1) AS asset FROM f JOIN sim USING (doc_id) WHERE contains(text, '<title>'))
