@@ -10,6 +10,10 @@ from corroborate.operators.units import quantities, unit_report
 from corroborate.sources.tables import table
 
 
+#: Words of scale and other currencies, where a figure isn't plain.
+WORDY = "(?i)thousand|million|billion|hundred|dollar|euro|pound|bitcoin|monero|btc|xmr|eur|gbp|[$€£₿]"
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return quantities(table(spark, d, "messages"), table(spark, d, "victims"), table(spark, d, "unit_rates"), table(spark, d, "source_units"))
 
@@ -18,6 +22,13 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
     return unit_report(table(spark, d, "messages"), table(spark, d, "victims"), table(spark, d, "unit_rates"), table(spark, d, "source_units"))
 
 
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The quantities of rows that state them as plain as can be: one figure of US dollars, or one number of GB."""
+    plain = table(spark, d, "messages").where(F.col("content").rlike(r"^[^0-9]*[0-9]{5,8} USD[^0-9a-zA-Z]*[a-zA-Z ,.!?]*$") & ~F.col("content").rlike(WORDY)).select(F.lit("messages").alias("src"), F.col("msg_id").alias("rec_id"))
+    gb = table(spark, d, "victims").where(F.col("claim_text").rlike("^[0-9]{1,4} GB$")).select(F.lit("victims").alias("src"), "rec_id")
+    return p3_found(spark, d).join(plain.unionByName(gb), ["src", "rec_id"], "left_semi")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "snapshots").withColumn("site", F.coalesce("site", F.lit("")))
     return snapshot_diff(rows, ["section", "name", "site"], canonical_map(F.col("attrs")))
@@ -34,7 +45,7 @@ def p4_alert_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_units": p3_units, "p4_found": p4_found, "p4_alert_coverage": p4_alert_coverage}
+QUERIES = {"p3_found": p3_found, "p3_plain": p3_plain, "p3_units": p3_units, "p4_found": p4_found, "p4_alert_coverage": p4_alert_coverage}
 
 _P4 = """
 WITH clean AS (
@@ -58,6 +69,9 @@ found AS (
 """
 
 SQL = {
+    "p3_plain": rf"""SELECT 'messages' AS src, msg_id AS rec_id, regexp_extract(content, '([0-9]{{5,8}}) USD', 1)::BIGINT AS qty FROM messages
+WHERE regexp_matches(content, '^[^0-9]*[0-9]{{5,8}} USD[^0-9a-zA-Z]*[a-zA-Z ,.!?]*$') AND NOT regexp_matches(content, '{WORDY}')
+UNION ALL SELECT 'victims', rec_id, regexp_extract(claim_text, '^([0-9]+)', 1)::BIGINT * 1000 FROM victims WHERE regexp_matches(claim_text, '^[0-9]{{1,4}} GB$')""",
     "p4_found": _P4 + "SELECT * FROM found",
     "p4_alert_coverage": _P4
     + """, named AS (SELECT DISTINCT t_to, name FROM alerts WHERE t_to IS NOT NULL AND name IS NOT NULL)

@@ -152,3 +152,25 @@ def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.95])
+def test_cosine_edges_against_all_pairs(spark, least):
+    r = random.Random(6)
+    rows = []
+    for i in range(90):
+        dims = r.sample(range(24), r.randrange(0, 9)) if i % 3 else [r.randrange(3)]
+        rows += [(f"p{i:02d}", k, float(r.randrange(1, 9))) for k in dims]
+    rows += [("zero", 1, 0.0), (None, 1, 1.0)]
+    got = {(x.a, x.b): x.sim for x in V.cosine_edges(spark.createDataFrame(rows, "id string, dim int, x double"), least, "s", 1.0).collect()}
+    vec = {}
+    for i, k, x in rows:
+        if i and x:
+            vec.setdefault(i, {})[k] = x
+    norm = {i: sum(x * x for x in v.values()) ** 0.5 for i, v in vec.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(vec), 2):
+        sim = sum(x * vec[b].get(k, 0) for k, x in vec[a].items()) / (norm[a] * norm[b])
+        if sim >= least - 0.0004:
+            want[a, b] = sim
+    assert all(abs(got[k] - v) < 6e-4 for k, v in want.items() if v >= least + 0.0006) and set(got) <= set(want)
