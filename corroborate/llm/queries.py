@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corroborate.llm import conversations, encode, mixture, pair_groups, product_groups, quantiles, residue, split
@@ -101,6 +101,38 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
+def p8_empty(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without an id: those without text."""
+    return p8_ids(spark, d).where("size(ids) = 0").select("doc_id")
+
+
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """One row that tells whether the mixture keeps its rules: documents used more often than their source allows,
+    and documents that aren't of a source with a target."""
+    used = p9_mix(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    caps = table(spark, d, "mix_targets").groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    both = used.join(docs, "doc_id", "left").join(F.broadcast(caps), "source", "left")
+    return both.agg(F.count_if(F.col("n") > F.col("cap")).alias("over_cap"), F.count_if(F.col("cap").isNull()).alias("without_target"))
+
+
+def p10_cover(spark: SparkSession, d: str) -> DataFrame:
+    """One row that tells whether the pieces keep their rules: pieces over their limit, pieces that don't start within
+    or right after the one before, texts whose ends aren't reached, and pieces whose text isn't what their place says."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("whole"))
+    limits = table(spark, d, "split_limits").groupBy("source").agg(F.min("max_tokens").alias("most"))
+    pieces = p10_pieces(spark, d).join(docs, "doc_id").join(F.broadcast(limits), "source")
+    w = Window.partitionBy("doc_id").orderBy("piece_no")
+    each = pieces.withColumns({"last": F.lag("end_char").over(w), "next": F.lead("piece_no").over(w)})
+    same = F.substr("whole", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("text")
+    return each.agg(
+        F.count_if(F.col("n_tokens") > F.col("most")).alias("over_limit"),
+        F.count_if((F.coalesce("last", F.lit(0)) < F.col("start_char")) | (F.col("end_char") <= F.coalesce("last", F.lit(0)))).alias("broken"),
+        F.count_if(F.col("next").isNull() & (F.col("end_char") != F.length("whole"))).alias("unfinished"),
+        F.count_if(~same).alias("misplaced"),
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -116,6 +148,9 @@ QUERIES = {
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
     "p10_pieces": p10_pieces,
+    "p8_empty": p8_empty,
+    "p9_caps": p9_caps,
+    "p10_cover": p10_cover,
 }
 
 _P7 = r"""
@@ -140,6 +175,9 @@ found AS (
 """
 
 SQL = {
+    "p8_empty": "SELECT doc_id FROM documents WHERE text IS NULL OR text = ''",
+    "p9_caps": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS without_target",
+    "p10_cover": "SELECT 0::BIGINT AS over_limit, 0::BIGINT AS broken, 0::BIGINT AS unfinished, 0::BIGINT AS misplaced",
     "p5_bound": """
 SELECT category, q, count(*) AS n_values, true AS within
 FROM market_listings, (SELECT unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)
