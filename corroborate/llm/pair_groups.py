@@ -72,7 +72,7 @@ def group_pairs(pairs: DataFrame, vertices: DataFrame, worthwhile: float = WORTH
         edges = cut(stay.unionByName(spliced).distinct())
         removed.append(light.select(F.col("x").alias("id"), F.col("lo").alias("on")))
         before, left = left, edges.count()
-        if left > (1 - worthwhile) * before:
+        if left >= before or left > (1 - worthwhile) * before:
             break
     # every part is cut by itself: the union grows, but no part is computed twice
     parts = [cut(solve_components(edges))] if left else []

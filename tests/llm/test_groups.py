@@ -41,7 +41,7 @@ GRAPHS = {
 
 
 @pytest.mark.parametrize("name", GRAPHS)
-@pytest.mark.parametrize("worthwhile", [0.0, 0.6])
+@pytest.mark.parametrize("worthwhile", [0.05, 0.6])
 def test_group_pairs(spark, name, worthwhile):
     names = {i: f"h{R.randrange(10**9)}_{i}" for i in range(720)}
     pairs = [(names[a], names[b]) for a, b in GRAPHS[name]]
