@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corroborate.operators.components import solve_components
 from corroborate.session import cut
 
+#: Runs of characters are counted in so many cells, whatever the input; the driver holds these counts.
+CELLS = 1 << 18
+
 
 def similar_pairs(sets: DataFrame, threshold: float, id: str = "id", items: str = "items") -> DataFrame:
     """(x, y, jaccard) of every two different rows of sets(id, items) whose distinct items have a Jaccard similarity
@@ -37,6 +44,78 @@ def similar_pairs(sets: DataFrame, threshold: float, id: str = "id", items: str
     return whole.select("x", "y", (common / (F.col("nx") + F.col("ny") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
 
 
+def _runs(texts: pa.Array, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the distinct runs of characters of a batch of texts, by text and hash."""
+    strings = texts.to_pylist()
+    sizes = np.array([len(s) for s in strings], dtype=np.int64)
+    chars = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    counts = np.maximum(sizes - run + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), counts)
+    at = np.arange(len(owner)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
+    h = np.zeros(len(owner), dtype=np.uint64)
+    for i in range(run):  # each step is a bijection of what was before and the character
+        h = (h ^ chars[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    first = np.ones(len(h), dtype=bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return owner[first], h[first]
+
+
+def similar_texts(texts: DataFrame, threshold: float, run: int = 4) -> DataFrame:
+    """(x, y, jaccard) of every two different rows of texts(id BIGINT, text), for many short texts, whose distinct runs
+    of `run` characters have a Jaccard similarity of at least threshold. Exact: no pair is lost.
+
+    The same prefix filter as similar_pairs, over any order of the runs exact: here by how many texts hold a run, as
+    counted in a fixed number of cells, so runs themselves are never shuffled. A row of a prefix also holds one bit per
+    residue of a hash, the parity of the runs there: two texts differ in at least as many runs as these bits differ,
+    and pairs that differ too much go within the join. Only texts of what is left are fetched and compared. Texts
+    shorter than a run are alike to none here; null texts take no part. ids must be unique.
+    """
+    texts = texts.select("id", "text").where("text is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            _, h = _runs(b.column("text"), run)
+            n += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["cell", "n"])
+
+    told = texts.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(CELLS, dtype=np.int64)
+    held[told["cell"].to_numpy()] = told["n"].to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, h = _runs(b.column("text"), run)
+            n = np.bincount(owner, minlength=len(b))
+            bits = np.zeros(len(b), dtype=np.uint64)
+            np.bitwise_xor.at(bits, owner, np.uint64(1) << (h >> np.uint64(58)))
+            often = held[(h % np.uint64(CELLS)).astype(np.int64)]
+            order = np.lexsort((h, often, owner))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            # what a single text holds can't be shared
+            taken = order[(place < np.repeat(keep, n)) & (often[order] > 1)]
+            whose = owner[taken]
+            ids = b.column("id").take(pa.array(whose))
+            yield pa.RecordBatch.from_arrays([pa.array(h[taken].view(np.int64)), ids, pa.array(n[whose].astype(np.int32)), pa.array(bits[whose].view(np.int64))], names=["item", "id", "n", "bits"])
+
+    heads = texts.mapInArrow(prefixes, "item bigint, id bigint, n int, bits bigint")
+    a = heads.select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    b = heads.select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    near = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
+    near &= F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= (F.col("nx") + F.col("ny")) * (1 - threshold) / (1 + threshold) + 1e-9
+    candidates = a.join(b, "item").where(near).select("x", "y").distinct()
+    whole = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - run + 1), lambda i: F.substr(F.col(c), i, F.lit(run))))
+    sets = whole.select("x", "y", runs("tx").alias("rx"), runs("ty").alias("ry"))
+    common = F.size(F.array_intersect("rx", "ry"))
+    return sets.select("x", "y", (common / (F.size("rx") + F.size("ry") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+
+
 def near_duplicate_classes(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(id, class_id, n_links): every document with the least id of its class and how many other documents it is
     linked to. docs(id, digest): equal digests are exact copies; items(digest, items) has one row per digest.

@@ -12,7 +12,7 @@ from corroborate.operators import report as R
 from corroborate.operators import scoring as S
 from corroborate.operators.components import components
 from corroborate.operators.ranking import nearest_by_xor
-from corroborate.operators.simjoin import similar_pairs
+from corroborate.operators.simjoin import similar_texts
 from corroborate.plans.pages import exact_mirrors, near_duplicates
 from corroborate.session import cut, spread
 from corroborate.sources.tables import table
@@ -133,8 +133,7 @@ def resale_rings(spark: SparkSession, d: str) -> DataFrame:
     """Titles at least 0.8 alike in runs of four characters, offered by more than one vendor."""
     rows = table(spark, d, "listings").where("title is not null and vendor is not null and length(title) >= 8").select(F.lower("title").alias("title"), "vendor")
     titles = cut(rows.groupBy("title").agg(F.min(F.xxhash64("title")).alias("id")))
-    grams = F.transform(F.sequence(F.lit(1), F.length("title") - 3), lambda i: F.substr(F.col("title"), i, F.lit(4)))
-    pairs = similar_pairs(titles.select("id", grams.alias("items")), 0.8)
+    pairs = similar_texts(titles.select("id", F.col("title").alias("text")), 0.8)
     groups = components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), titles.select("id"))
     named = rows.join(titles, "title").join(groups, "id")
     return named.groupBy("component").agg(F.min("title").alias("ring"), F.count_distinct("vendor").alias("n_vendors"), F.count_distinct("title").alias("n_titles"), F.count("*").alias("n_listings")).where("n_vendors > 1").drop("component")

@@ -6,12 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corroborate.operators import evidence as V
 from corroborate.operators import report as R
 from corroborate.operators import scoring as S
 from corroborate.operators.components import components, solve_components
 from corroborate.operators.ranking import greedy_route
-from corroborate.operators.simjoin import near_duplicate_classes, similar_pairs
+from corroborate.operators.simjoin import near_duplicate_classes, similar_pairs, similar_texts
+from oracle import compare
 
 
 def union_find(edges, vertices=()):
@@ -174,3 +176,28 @@ def test_cosine_edges_against_all_pairs(spark, least):
         if sim >= least - 0.0004:
             want[a, b] = sim
     assert all(abs(got[k] - v) < 6e-4 for k, v in want.items() if v >= least + 0.0006) and set(got) <= set(want)
+
+
+@pytest.mark.parametrize("t", [0.3, 0.8])
+def test_similar_texts(spark, t):
+    r = random.Random(6)
+    texts = {i: "".join(r.choice(["ab", "cé", "d😀", "xyz", " "]) for _ in range(r.randrange(12))) for i in range(300)}
+    texts |= {1000 + i: x + r.choice(["", "ab", "q"]) for i, x in list(texts.items())[:80]}
+    rows = [*texts.items(), (5000, None)]
+    runs = {i: {x[k : k + 4] for k in range(len(x) - 3)} for i, x in texts.items()}
+    want = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a in texts for b in texts if a < b and runs[a] and runs[b] and len(runs[a] & runs[b]) / len(runs[a] | runs[b]) >= t - 1e-12}
+    got = {(x.x, x.y): x.jaccard for x in similar_texts(spark.createDataFrame(rows, "id bigint, text string").repartition(5), t).collect()}
+    assert want and got == pytest.approx(want)
+    assert similar_texts(spark.createDataFrame([], "id bigint, text string"), t).count() == 0
+
+
+def test_rings_of_titles_in_common_words(spark, tmp_path):
+    """Titles whose rarest runs are common move no rows of pairs that aren't alike."""
+    r = random.Random(7)
+    names = sorted({"".join(r.choice(["gabo", "lunra", "wyda", "tisku", "mopex"]) for _ in range(4)) for _ in range(1500)})
+    rows = [(i, f"{n} wool scarf", f"V{i % 7}") for i, n in enumerate(names)] + [(9000 + i, f"{n} wool scarfs", "V9") for i, n in enumerate(names[:40])]
+    spark.createDataFrame(rows, "rec_id bigint, title string, vendor string").write.parquet(str(tmp_path / "listings.parquet"))
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: [x.apply(i) for i in range(x.size())])(spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = set(stages())
+    assert compare(entry.queries()["resale_rings"](spark, str(tmp_path)), entry.oracle_sql()["resale_rings"], str(tmp_path)) == ""
+    assert max(n for k, n in stages().items() if k not in before) < 30 * len(rows)
