@@ -238,3 +238,14 @@ def test_marks_of_any_length(spark):
     good = ["{{ tea" + long, "tea [" + "the text of a sale that has the " * 4 + "tin]"]
     rows = [(i, i, t, "SaltOwl", "office", "5 USD", None) for i, t in enumerate(bad + good)]
     assert {r.rec_id for r in R.residue(_listings(spark, rows)).collect()} == set(range(len(bad)))
+
+
+def test_no_candidate_is_left_out(spark, monkeypatch):
+    """Two wordings that the fullest listing of their string doesn't match, nor a fifth of all, still meet each other."""
+    common = [f"word{c}" for c in "abcdefghijklmno"]
+    known = G.Lexicon([(w, 100, 5) for w in common], 1000, 10, 9000)
+    texts = [["zangadul", *common[:12]], ["zangadul", *common[12:]], [common[12], "zangadul", common[13]]]
+    rows = [(i, "||1", " ".join(ws), known.fullness(ws)) for i, ws in enumerate(texts)]
+    monkeypatch.setattr(G, "reinforce", lambda pairs, idfs, **k: np.ones(len(idfs)))
+    links = G.same_profiles(spark.createDataFrame(rows, "pid bigint, attrs string, text string, full double"), known).collect()
+    assert {frozenset((k.u, k.v)) for k in links} == {frozenset((1, 2))}
