@@ -45,22 +45,38 @@ def similar_pairs(sets: DataFrame, threshold: float, id: str = "id", items: str
 
 
 def _runs(texts: pa.Array, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the distinct runs of characters of a batch of texts, by text and hash."""
+    """(owner, hash) of the distinct runs of characters of a batch of texts, by text and, within it, by characters."""
     strings = texts.to_pylist()
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
-    chars = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    chars = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     counts = np.maximum(sizes - run + 1, 0)
     owner = np.repeat(np.arange(len(strings)), counts)
     at = np.arange(len(owner)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
+    known = np.zeros(int(chars.max(initial=0)) + 1, dtype=bool)
+    known[chars] = True
+    alphabet = np.flatnonzero(known)
+    width = len(alphabet).bit_length()
+    if run * width + len(strings).bit_length() < 64:  # text and characters fit one number
+        code = (np.cumsum(known) - 1)[chars]
+        key = owner
+        for i in range(run):
+            key = key << width | code[at + i]
+        key = np.sort(key)
+        key = key[np.diff(key, prepend=-1) != 0]
+        owner = key >> run * width
+        columns = [alphabet[key >> (run - 1 - i) * width & (1 << width) - 1] for i in range(run)]
+    else:
+        columns = [chars[at + i] for i in range(run)]
+        order = np.lexsort((*reversed(columns), owner))
+        columns, owner = [c[order] for c in columns], owner[order]
+        first = np.ones(len(owner), dtype=bool)
+        first[1:] = np.any([c[1:] != c[:-1] for c in (owner, *columns)], axis=0)
+        columns, owner = [c[first] for c in columns], owner[first]
     h = np.zeros(len(owner), dtype=np.uint64)
-    for i in range(run):  # each step is a bijection of what was before and the character
-        h = (h ^ chars[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+    for c in columns:  # each step is a bijection of what was before and the character
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    return owner[first], h[first]
+    return owner, h
 
 
 def similar_texts(texts: DataFrame, threshold: float, run: int = 4) -> DataFrame:
@@ -72,6 +88,9 @@ def similar_texts(texts: DataFrame, threshold: float, run: int = 4) -> DataFrame
     residue of a hash, the parity of the runs there: two texts differ in at least as many runs as these bits differ,
     and pairs that differ too much go within the join. Only texts of what is left are fetched and compared. Texts
     shorter than a run are alike to none here; null texts take no part. ids must be unique.
+
+    Spark takes the prefixes for as small as the texts, and texts for as small as their compressed files, and would
+    broadcast either through the driver; the joins are told to shuffle both sides instead.
     """
     texts = texts.select("id", "text").where("text is not null")
 
@@ -86,30 +105,40 @@ def similar_texts(texts: DataFrame, threshold: float, run: int = 4) -> DataFrame
     told = texts.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     held = np.zeros(CELLS, dtype=np.int64)
     held[told["cell"].to_numpy()] = told["n"].to_numpy()
+    rank = np.empty(CELLS, dtype=np.int32)
+    rank[np.argsort(held, kind="stable")] = np.arange(CELLS)
+    alone = int((held < 2).sum())
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, h = _runs(b.column("text"), run)
             n = np.bincount(owner, minlength=len(b))
+            start = np.cumsum(n) - n
             bits = np.zeros(len(b), dtype=np.uint64)
-            np.bitwise_xor.at(bits, owner, np.uint64(1) << (h >> np.uint64(58)))
-            often = held[(h % np.uint64(CELLS)).astype(np.int64)]
-            order = np.lexsort((h, often, owner))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            if len(h):
+                bits[n > 0] = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start[n > 0])
+            cell = rank[(h % np.uint64(CELLS)).astype(np.int64)].astype(np.int64)
+            # by text, cell and characters; the last are the order the runs come in
+            size = len(h).bit_length()
+            key = np.sort((owner * CELLS + cell) << size | np.arange(len(h)))
+            order = key & (1 << size) - 1
             keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             # what a single text holds can't be shared
-            taken = order[(place < np.repeat(keep, n)) & (often[order] > 1)]
+            taken = order[(np.arange(len(h)) < np.repeat(start + keep, n)) & (cell[order] >= alone)]
             whose = owner[taken]
             ids = b.column("id").take(pa.array(whose))
-            yield pa.RecordBatch.from_arrays([pa.array(h[taken].view(np.int64)), ids, pa.array(n[whose].astype(np.int32)), pa.array(bits[whose].view(np.int64))], names=["item", "id", "n", "bits"])
-
-    heads = texts.mapInArrow(prefixes, "item bigint, id bigint, n int, bits bigint")
-    a = heads.select("item", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    b = heads.select("item", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    near = (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
-    near &= F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= (F.col("nx") + F.col("ny")) * (1 - threshold) / (1 + threshold) + 1e-9
-    candidates = a.join(b, "item").where(near).select("x", "y").distinct()
-    whole = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
+            # half a hash does for the join: runs that share it only make candidates
+            yield pa.RecordBatch.from_arrays([pa.array(h[taken].astype(np.uint32).view(np.int32)), pa.array(bits[whose].view(np.int64)), ids, pa.array(n[whose].astype(np.int32))], names=["item", "bits", "id", "n"])
+
+    # a small number stands last, where its zeros and those that begin the next row are compressed together
+    heads = texts.mapInArrow(prefixes, "item int, bits bigint, id bigint, n int")
+    a = heads.select("item", F.col("bits").alias("bx"), F.col("id").alias("x"), F.col("n").alias("nx"))
+    b = heads.select("item", F.col("bits").alias("by"), F.col("id").alias("y"), F.col("n").alias("ny"))
+    # what leaves out the most comes first
+    near = F.bit_count(F.col("bx").bitwiseXOR(F.col("by"))) <= (F.col("nx") + F.col("ny")) * (1 - threshold) / (1 + threshold) + 1e-9
+    near &= (F.col("x") < F.col("y")) & (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
+    candidates = a.join(b.hint("merge"), "item").where(near).select("x", "y").distinct()
+    whole = candidates.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")).hint("merge"), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")).hint("merge"), "y")
     runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - run + 1), lambda i: F.substr(F.col(c), i, F.lit(run))))
     sets = whole.select("x", "y", runs("tx").alias("rx"), runs("ty").alias("ry"))
     common = F.size(F.array_intersect("rx", "ry"))

@@ -10,7 +10,7 @@ from corroborate.operators import changefeed as C
 from corroborate.operators import evidence as V
 from corroborate.operators import report as R
 from corroborate.operators import scoring as S
-from corroborate.operators.components import components
+from corroborate.operators.components import solve_components
 from corroborate.operators.ranking import nearest_by_xor
 from corroborate.operators.simjoin import similar_texts
 from corroborate.plans.pages import exact_mirrors, near_duplicates
@@ -132,11 +132,15 @@ def duplicate_grades(spark: SparkSession, d: str) -> DataFrame:
 def resale_rings(spark: SparkSession, d: str) -> DataFrame:
     """Titles at least 0.8 alike in runs of four characters, offered by more than one vendor."""
     rows = table(spark, d, "listings").where("title is not null and vendor is not null and length(title) >= 8").select(F.lower("title").alias("title"), "vendor")
-    titles = cut(rows.groupBy("title").agg(F.min(F.xxhash64("title")).alias("id")))
+    seller = F.xxhash64("vendor")
+    titles = cut(rows.groupBy("title").agg((F.min(seller) < F.max(seller)).alias("several")).withColumn("id", F.monotonically_increasing_id()))
     pairs = similar_texts(titles.select("id", F.col("title").alias("text")), 0.8)
-    groups = components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), titles.select("id"))
-    named = rows.join(titles, "title").join(groups, "id")
-    return named.groupBy("component").agg(F.min("title").alias("ring"), F.count_distinct("vendor").alias("n_vendors"), F.count_distinct("title").alias("n_titles"), F.count("*").alias("n_listings")).where("n_vendors > 1").drop("component")
+    roots = cut(solve_components(pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    # a title without a like of it is a ring if it has several vendors; no other titles are looked at again
+    members = titles.join(roots, "id", "left").where("several or root is not null").select("id", "title", F.coalesce("root", "id").alias("component"))
+    # listings are taken for far smaller than they are and would be broadcast
+    named = rows.hint("merge").join(members, "title")
+    return named.groupBy("component").agg(F.min("title").alias("ring"), F.count_distinct("vendor").alias("n_vendors"), F.count_distinct("id").alias("n_titles"), F.count("*").alias("n_listings")).where("n_vendors > 1").drop("component")
 
 
 def nearest_handles(spark: SparkSession, d: str) -> DataFrame:

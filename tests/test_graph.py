@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from corroborate.operators import report as R
 from corroborate.operators import scoring as S
 from corroborate.operators.components import components, solve_components
 from corroborate.operators.ranking import greedy_route
-from corroborate.operators.simjoin import near_duplicate_classes, similar_pairs, similar_texts
+from corroborate.operators.simjoin import _runs, near_duplicate_classes, similar_pairs, similar_texts
 from oracle import compare
 
 
@@ -201,3 +202,35 @@ def test_rings_of_titles_in_common_words(spark, tmp_path):
     before = set(stages())
     assert compare(entry.queries()["resale_rings"](spark, str(tmp_path)), entry.oracle_sql()["resale_rings"], str(tmp_path)) == ""
     assert max(n for k, n in stages().items() if k not in before) < 30 * len(rows)
+
+
+def test_rings_broadcast_nothing_by_estimate(spark, tmp_path):
+    """Titles and their prefixes are many times what Spark estimates from the files; none goes through the driver."""
+    r = random.Random(9)
+    names = sorted({"".join(r.choice(["gabo", "lunra", "wyda", "tisku", "mopex"]) for _ in range(4)) for _ in range(300)})
+    rows = [(i, f"{n} wool scarf", f"V{i % 7}") for i, n in enumerate(names)] + [(9000 + i, f"{n} wool scarfs", "V9") for i, n in enumerate(names[:40])]
+    spark.createDataFrame(rows, "rec_id bigint, title string, vendor string").write.parquet(str(tmp_path / "listings.parquet"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = lambda: {x.executionId(): x.physicalPlanDescription() for x in (lambda x: [x.apply(i) for i in range(x.size())])(store.executionsList())}
+    before = set(executions())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # all joins are chosen by estimates
+    try:
+        assert compare(entry.queries()["resale_rings"](spark, str(tmp_path)), entry.oracle_sql()["resale_rings"], str(tmp_path)) == ""
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x for k, x in executions().items() if k not in before]
+    assert any("SortMergeJoin" in x for x in plans) and not [x for x in plans if "Broadcast" in x]
+
+
+@pytest.mark.parametrize("alphabet", [["a", "b", "😀"], [chr(0x4E00 + i) for i in range(20000)]])
+def test_runs_of_texts(alphabet):
+    r = random.Random(10)
+    texts = ["", "ab", *("".join(r.choice(alphabet[: 2 + i * 60]) for _ in range(r.randrange(40))) for i in range(300)), ""]
+    owner, h = _runs(pa.array(texts), 4)
+    runs = [[x[k : k + 4] for k in range(len(x) - 3)] for x in texts]
+    want = [(i, x) for i, found in enumerate(runs) for x in sorted(set(found))]
+    named = {}
+    assert [i for i, _ in want] == owner.tolist()
+    assert all(named.setdefault(x, y) == y for (_, x), y in zip(want, h.tolist())) and len(set(named.values())) == len(named)
